@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import components, mixture
+from marlstone.llm import components, leakage, mixture
 from marlstone.session import load
 
 
@@ -31,9 +31,23 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.shares(*_mixed(spark, sf_dir))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_cases"), "case_id", "passage")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the held-out items found in them."""
+    return _leaks(spark, sf_dir).select("doc_id", "case_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans to remove from each affected document."""
+    return leakage.removal_spans(_leaks(spark, sf_dir))
+
+
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {"p6_found": p6_found, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p6_found": p6_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 
 _NAME = "regexp_replace(replace({c}, '\\', '/'), '^(\\./)+', '')"
