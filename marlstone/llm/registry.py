@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import components, leakage, mixture
+from marlstone.llm import components, language, leakage, mixture
 from marlstone.session import load
 
 
@@ -45,9 +45,23 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.removal_spans(_leaks(spark, sf_dir))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.label_documents(load(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a missing or wrong label, and the paragraphs of mixed ones, with their language."""
+    return _languages(spark, sf_dir).filter("found").select("doc_id", "seg_no", "lang")
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and every paragraph of a mixed one, with language and confidence."""
+    return _languages(spark, sf_dir).select("doc_id", "seg_no", "lang", "confidence")
+
+
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {"p6_found": p6_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p6_found": p6_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 _NAME = "regexp_replace(replace({c}, '\\', '/'), '^(\\./)+', '')"
