@@ -11,13 +11,18 @@ HOT_SHARE = 1 / 256
 HOT_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
-    """Keys that hold at least a share of df's rows; at most 1/share values reach the driver."""
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS, rows: int | None = None) -> list:
+    """Keys that hold at least a share of df's rows; at most 1/share values reach the driver.
+
+    Where the number of rows is known and below ``least``, nothing is counted.
+    """
+    if rows is not None and rows < least:
+        return []
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     top = counts.orderBy(F.desc("_n")).limit(int(1 / share)).collect()
     if not top or top[0]["_n"] < least:
         return []
-    total = df.count()
+    total = df.count() if rows is None else rows
     return [r[key] for r in top if r["_n"] >= max(least, share * total)]
 
 
