@@ -8,8 +8,9 @@ components go each round. Only the components that still have edges take part
 in a round; the rounds' maps shrink and are composed backwards at the end.
 
 No step gathers a component or the edges of a vertex: smallest edges are
-pre-aggregated minima, and relabelling is a lookup that broadcasts its map only
-below a checked row count and salts hot keys beyond it.
+pre-aggregated minima, and relabelling is a shuffled lookup that salts hot
+keys. Nothing is broadcast by hint; the planner may broadcast a map that is
+below its own size limit.
 
 Defined cases: a pair with a NULL or blank name is no link and adds no vertex;
 a vertex linked only to itself is its own group; repeated and reversed pairs
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 from marlstone.operators.skew import hot_keys, replicated, salted
 from marlstone.session import materialize
 
-#: A map of at most this many rows of two BIGINTs is broadcast.
-BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
@@ -35,11 +34,12 @@ def file_key(name: Column) -> Column:
     return F.when(F.length(F.btrim(name, F.lit(" \t\r\n"))) > 0, plain)
 
 
-def _lookup(df: DataFrame, column: str, table: DataFrame, rows: int, broadcast_rows: int) -> DataFrame:
-    """Replace column by table(id, to) where it has the id; both are BIGINT columns."""
-    if rows <= broadcast_rows:
-        return df.join(F.broadcast(table), F.col(column) == F.col("id"), "left").withColumn(column, F.coalesce("to", column)).drop("id", "to")
-    hot = hot_keys(df, column)
+def _lookup(df: DataFrame, column: str, table: DataFrame, rows: int) -> DataFrame:
+    """Replace column by table(id, to) where it has the id; df has that many rows."""
+    hot = hot_keys(df, column, rows=rows)
+    if not hot:
+        joined = df.join(table, F.col(column) == F.col("id"), "left")
+        return joined.withColumn(column, F.coalesce("to", column)).drop("id", "to")
     left = salted(df, column, hot, SALTS, F.struct(*df.columns))
     right = replicated(table, "id", hot, SALTS).withColumnRenamed("_salt", "_salt2")
     joined = left.join(right, (F.col(column) == F.col("id")) & (F.col("_salt") == F.col("_salt2")), "left")
@@ -47,26 +47,27 @@ def _lookup(df: DataFrame, column: str, table: DataFrame, rows: int, broadcast_r
 
 
 def _hook(edges: DataFrame) -> DataFrame:
-    """(id, to): the other end of each vertex's smallest edge; edges have u < v."""
-    ends = edges.select(F.col("u").alias("id"), "u", "v").unionByName(edges.select(F.col("v").alias("id"), "u", "v"))
-    least = ends.groupBy("id").agg(F.min(F.struct("u", "v")).alias("e"))
-    return least.select("id", F.when(F.col("e.u") == F.col("id"), F.col("e.v")).otherwise(F.col("e.u")).alias("to"))
-
+    """(id, to): each vertex's other end of its smallest edge, and itself for the smaller end of an edge both chose.
 
-def _renamed(table: DataFrame) -> DataFrame:
-    return table.select(F.col("id"), F.col("to"))
+    Edges have u < v. An edge is chosen by at most its two ends, so grouping
+    the choices by edge finds the mutual pairs without a join.
+    """
+    ends = edges.select(F.col("u").alias("id"), "u", "v").unionByName(edges.select(F.col("v").alias("id"), "u", "v"))
+    least = ends.groupBy("id").agg(F.min(F.struct("u", "v")).alias("e")).select("id", "e.u", "e.v")
+    chosen = least.groupBy("u", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    both = F.array(F.struct(F.col("u").alias("id"), F.col("u").alias("to")), F.struct(F.col("v").alias("id"), F.col("u").alias("to")))
+    other = F.when(F.col("id") == F.col("u"), F.col("v")).otherwise(F.col("u"))
+    one = F.array(F.struct(F.col("id").alias("id"), other.alias("to")))
+    return chosen.select(F.explode(F.when(F.col("n") == 2, both).otherwise(one)).alias("h")).select("h.id", "h.to")
 
 
-def _collapse(hooks: DataFrame, broadcast_rows: int) -> tuple[DataFrame, int]:
+def _collapse(hooks: DataFrame) -> tuple[DataFrame, int]:
     """Roots (id, to) of the hooked trees by pointer doubling, and the number of vertices."""
-    hooks = materialize(hooks)
-    rows = hooks.count()
-    step = _lookup(hooks.select("id", "to", F.col("to").alias("next")).withColumnRenamed("id", "self").withColumnRenamed("to", "up"), "next", hooks, rows, broadcast_rows)
-    # the only cycles are mutual pairs: their smaller end becomes the root
-    current = materialize(step.select(F.col("self").alias("id"), F.when((F.col("next") == F.col("self")) & (F.col("self") < F.col("up")), F.col("self")).otherwise(F.col("up")).alias("to")))
+    current = materialize(hooks)
+    rows = current.count()
     while True:
         jump = current.select(F.col("id").alias("self"), F.col("to").alias("up"), F.col("to").alias("next"))
-        jump = _lookup(jump, "next", _renamed(current), rows, broadcast_rows)
+        jump = _lookup(jump, "next", current.select("id", "to"), rows)
         doubled = materialize(jump.select(F.col("self").alias("id"), F.col("next").alias("to"), (F.col("next") != F.col("up")).alias("moved")))
         moved = doubled.filter("moved").limit(1).count()
         current = doubled.select("id", "to")
@@ -74,7 +75,7 @@ def _collapse(hooks: DataFrame, broadcast_rows: int) -> tuple[DataFrame, int]:
             return current, rows
 
 
-def boruvka(edges: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def boruvka(edges: DataFrame) -> DataFrame:
     """(id, root) for every vertex of edges(u, v) of BIGINTs that has a neighbour; self links are ignored."""
 
     def tidy(e: DataFrame) -> DataFrame:
@@ -82,33 +83,32 @@ def boruvka(edges: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame
 
     left = materialize(tidy(edges))
     maps: list[tuple[DataFrame, int]] = []
-    while left.limit(1).count():
-        roots, rows = _collapse(_hook(left), broadcast_rows)
+    while size := left.count():
+        roots, rows = _collapse(_hook(left))
         maps.append((roots, rows))
-        relabelled = _lookup(_lookup(left, "u", roots, rows, broadcast_rows), "v", roots, rows, broadcast_rows)
-        left = materialize(tidy(relabelled))
+        left = materialize(tidy(_lookup(_lookup(left, "u", roots, size), "v", roots, size)))
     if not maps:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).limit(0)
-    final, rows = maps.pop()
+    final, _ = maps.pop()
     while maps:
         earlier, more = maps.pop()
-        composed = _lookup(earlier.select(F.col("id").alias("self"), F.col("to").alias("next")), "next", final, rows, broadcast_rows)
-        final, rows = composed.select(F.col("self").alias("id"), F.col("next").alias("to")), more
-        final = materialize(final)
+        composed = _lookup(earlier.select(F.col("id").alias("self"), F.col("to").alias("next")), "next", final, more)
+        final = materialize(composed.select(F.col("self").alias("id"), F.col("next").alias("to")))
     return final.select("id", F.col("to").alias("root"))
 
 
-def consolidate(pairs: DataFrame, first: Column, second: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def consolidate(pairs: DataFrame, first: Column, second: Column) -> DataFrame:
     """(name, group_name) for every distinct name of the pairs that have both names; the group's name is its smallest."""
     links = materialize(pairs.select(first.alias("a"), second.alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
+    size = links.count()
     names = links.select(F.col("a").alias("name")).unionByName(links.select(F.col("b").alias("name"))).distinct()
     vertices = materialize(names.select("name", F.monotonically_increasing_id().alias("vertex")))
     ends = vertices.select(F.col("name").alias("b"), F.col("vertex").alias("v"))
-    hot_a, hot_b = hot_keys(links, "a"), hot_keys(links, "b")
+    hot_a, hot_b = hot_keys(links, "a", rows=size), hot_keys(links, "b", rows=size)
     by_a = salted(links, "a", hot_a, SALTS, F.col("b")).join(replicated(vertices.withColumnRenamed("name", "a"), "a", hot_a, SALTS), ["a", "_salt"]).select("b", F.col("vertex").alias("u"))
     by_b = salted(by_a, "b", hot_b, SALTS, F.col("u")).join(replicated(ends, "b", hot_b, SALTS), ["b", "_salt"]).select("u", "v")
-    roots = boruvka(by_b, broadcast_rows)
-    member = vertices.join(roots, F.col("vertex") == F.col("id"), "left").select("name", F.coalesce("root", "vertex").alias("root"))
+    roots = boruvka(by_b)
+    member = materialize(vertices.join(roots, F.col("vertex") == F.col("id"), "left").select("name", F.coalesce("root", "vertex").alias("root")))
     heads = member.groupBy("root").agg(F.min("name").alias("group_name"))
-    hot_root = hot_keys(member, "root")
+    hot_root = hot_keys(member, "root", rows=member.count())
     return salted(member, "root", hot_root, SALTS, F.col("name")).join(replicated(heads, "root", hot_root, SALTS), ["root", "_salt"]).select("name", "group_name")

@@ -5,10 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import components, language, leakage, mixture
+from marlstone.llm import components, docpairs, language, leakage, mixture, syntax
 from marlstone.session import load
 
 
+def _faults(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    return syntax.faults(load(spark, sf_dir, "source_files"), keep=keep)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a syntax error for the language of their path."""
+    return _faults(spark, sf_dir).filter(F.col("fault").isNotNull()).select("file_id")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse failures per repository and language."""
+    return syntax.rates(_faults(spark, sf_dir, ["repo"]), ["repo"])
+
+
+def p2_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files scanned, parse failures and failures by language of each snapshot."""
+    return syntax.coverage(_faults(spark, sf_dir, ["snapshot_id", "repo"]), ["snapshot_id", "repo"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and methods that are really documented."""
+    return docpairs.documented(load(spark, sf_dir, "source_files")).select("file_id", "name", "start_line")
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and description of each documented function."""
+    return docpairs.documented(load(spark, sf_dir, "source_files"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file of the clone pairs with the name of its group."""
     pairs = load(spark, sf_dir, "clone_pairs")
@@ -61,7 +90,7 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {"p6_found": p6_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
+    return {"p2_found": p2_found, "p2_rates": p2_rates, "p2_snapshots": p2_snapshots, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 _NAME = "regexp_replace(replace({c}, '\\', '/'), '^(\\./)+', '')"
