@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +55,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    target = os.path.join(tempfile.mkdtemp(prefix="marlstone-"), "marlstone.zip")
+    Path(target).write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(application)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Read one table of a data folder."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
