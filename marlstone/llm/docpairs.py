@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.lexers import check, language_of
+from marlstone.session import ship_package
 
 LEAST_WORDS = 4
 
@@ -50,17 +51,18 @@ _JAVA_PARTS = r'''(?(DEFINE)
  (?<paren>\((?:[^()"'/]++|(?&str)|(?&com)|/|(?&paren))*+\))
  (?<angle><(?:[^<>;{}()]++|(?&angle))*+>)
  (?<body>\{(?:[^{}"'/]++|(?&str)|(?&com)|/|(?&body))*+\})
- (?<note>@[\w.]++\s*+(?&paren)?+)
+ (?<note>@[\w.]++(?:[ \t]*+(?&paren))?+)
 )'''
 _JSDOC = r"(?:(?<doc>/\*\*(?!/)(?:[^*]++|\*(?!/))*+\*/)[ \t]*+\n(?:[ \t]*+@[\w.]++(?&paren)?+[ \t]*+\n)*+)?+"
 _WORD = r"[\p{L}_$][\w$]*+"
+_ARROW_TYPE = r"(?:\s*+:\s*+[^{}=;\n]++(?:\{[^{}]*+\}[\[\]]*+)?+)?+"
 _JS_TYPE = r"(?:\s*+:\s*+(?:[^{=;\n]|=>)++(?:\{[^{}]*+\}[\[\]]*+(?=\s*+\{))?+)?+"
 
 _SCRIPT = regex.compile(
     _C_PARTS
     + rf"""(?:^[ \t]*+{_JSDOC}[ \t]*+(?:@[\w.]++(?&paren)?+[ \t]++)*+(?<head>
    (?:export\s++(?:default\s++)?)?(?:declare\s++)?(?:async\s++)?function\b\s*+\*?\s*+(?<name>{_WORD})\s*+(?:<[^()]*+>)?+\s*+(?&paren){_JS_TYPE}
-  |(?:export\s++(?:default\s++)?)?(?:const|let|var)\s++(?<name>{_WORD})\s*+(?::(?:[^=\n]|=>)++)?+=\s*+(?:async\b\s*+)?(?:function\b\s*+\*?\s*+(?:{_WORD})?+\s*+(?&paren){_JS_TYPE}|(?:<[^()]*+>)?+(?&paren){_JS_TYPE}\s*+=>|{_WORD}\s*+=>)
+  |(?:export\s++(?:default\s++)?)?(?:const|let|var)\s++(?<name>{_WORD})\s*+(?::(?:[^=\n]|=>)++)?+=\s*+(?:async\b\s*+)?(?:function\b\s*+\*?\s*+(?:{_WORD})?+\s*+(?&paren){_JS_TYPE}|(?:<[^()]*+>)?+(?&paren){_ARROW_TYPE}\s*+=>|{_WORD}\s*+=>)
   |(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s++)*+\*?\s*+(?<name>(?!(?:if|for|while|switch|catch|with|return|function|new|do|else|typeof|await|super|this)\b)\#?{_WORD})\s*+\??(?:<[^()]*+>)?+\s*+(?&paren){_JS_TYPE}(?=\s*+\{{)
  )\s*+(?<code>(?&body))?+)|(?<skip>(?&com)|(?&str)|(?&re))""",
     regex.M | regex.X | regex.V1,
@@ -182,6 +184,7 @@ def captures(text: str, language: str) -> Iterator[tuple[str, int, str, str, str
 
 def documented(files: DataFrame, file_id: str = "file_id", path: str = "path", language: str = "language", content: str = "content", least: int = LEAST_WORDS) -> DataFrame:
     """(file_id, language, name, start_line, signature, doc, code) of every function that is really documented, of files that parse."""
+    ship_package(files.sparkSession)
     kind = dict(files.dtypes)[file_id]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

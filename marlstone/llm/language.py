@@ -35,6 +35,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from marlstone.session import ship_package
 
 LANGUAGES = ["en", "de", "fr", "es", "pt", "nl", "it"]
 #: The forms of a label beside the two-letter code.
@@ -388,6 +389,7 @@ def label_documents(documents: DataFrame, doc_id: str, text: str, label: str, mo
 
     ``found`` marks segment 0 where the label is missing or another language, and every other segment.
     """
+    ship_package(documents.sparkSession)
     model = model or train(documents, doc_id, text, label)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = dict(documents.dtypes)[doc_id]

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.fmindex import FMIndex
+from marlstone.session import ship_package
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: Words of a match.
@@ -128,6 +129,7 @@ class _Shard:
 
 def leaks(documents: DataFrame, doc_id: str, text: str, cases: DataFrame, case_id: str, passage: str, words: int = WORDS, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, case_id, start, end): spans of the lower-cased text that a case's passage shares with a document."""
+    ship_package(documents.sparkSession)
     spark = documents.sparkSession
     held = cases.select(F.col(case_id).alias("case_id"), F.col(passage).alias("passage")).filter(F.col("case_id").isNotNull() & F.col("passage").isNotNull())
     size = held.agg(F.sum(F.octet_length("passage"))).first()[0] or 0

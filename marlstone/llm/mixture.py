@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import materialize
+from marlstone.session import materialize, ship_package
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bits of the hash per histogram level, and the number of levels.
@@ -74,6 +74,7 @@ def token_counter(spark: SparkSession, path: str = TOKENIZER):
 
 def sized(docs: DataFrame, doc_id: str, text: str, source: str, path: str = TOKENIZER, seed: int = 17) -> DataFrame:
     """(doc_id, source, tokens, h): a non-negative hash of BITS * LEVELS bits; written once, so texts are read once."""
+    ship_package(docs.sparkSession)
     count = token_counter(docs.sparkSession, path)
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id)), 64 - BITS * LEVELS)
     return materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), count(F.col(text)).alias("tokens"), h.alias("h")))

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.lexers import TOKENS, check, language_of
+from marlstone.session import ship_package
 
 CHECKED = {*TOKENS, "python", "json"}
 
 
 def faults(files: DataFrame, file_id: str = "file_id", path: str = "path", language: str = "language", content: str = "content", keep: list[str] | None = None) -> DataFrame:
     """(file_id, checked_language, fault, line) of every file that can be checked; fault is NULL for a sound one."""
+    ship_package(files.sparkSession)
     keep = keep or []
     kinds = dict(files.dtypes)
 
