@@ -322,7 +322,7 @@ def train(documents: DataFrame, doc_id: str, text: str, label: str, per_language
         return Model()
     # a threshold of the hash per language: no sort, no shuffle of texts
     span = 2**63
-    limit = F.create_map(*[F.lit(x) for c, n in sorted(sizes.items()) for x in (c, int(min(1.0, per_language / n) * span) * 2 - span)])
+    limit = F.create_map(*[F.lit(x) for c, n in sorted(sizes.items()) for x in (c, min(int(min(1.0, per_language / n) * span) * 2 - span, span - 1))])
     drawn = labelled.filter(F.col("h") <= limit[F.col("code")]).select("h", "code", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     rows = sorted(drawn.limit(2 * per_language * len(LANGUAGES)).collect(), key=lambda r: (r["code"], r["h"], r["text"]))
     texts: list[tuple[str, int, bool]] = []
