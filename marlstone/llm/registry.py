@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import components, docpairs, language, leakage, mixture, syntax
+from marlstone.llm import components, docpairs, language, leakage, mixture, provenance, syntax
 from marlstone.session import load
 
 
@@ -28,6 +28,20 @@ def p2_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.coverage(_faults(spark, sf_dir, ["snapshot_id", "repo"]), ["snapshot_id", "repo"])
 
 
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.classify(load(spark, sf_dir, "source_files"), load(spark, sf_dir, "clean_plan"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand here."""
+    return _classified(spark, sf_dir).filter("found").select("file_id")
+
+
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence and score of every file."""
+    return _classified(spark, sf_dir).select("file_id", "found", "evidence", "score")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions and methods that are really documented."""
     return docpairs.documented(load(spark, sf_dir, "source_files")).select("file_id", "name", "start_line")
@@ -90,7 +104,7 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to callable(spark, sf_dir)."""
-    return {"p2_found": p2_found, "p2_rates": p2_rates, "p2_snapshots": p2_snapshots, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
+    return {"p2_found": p2_found, "p2_rates": p2_rates, "p2_snapshots": p2_snapshots, "p3_found": p3_found, "p3_files": p3_files, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
 
 
 _NAME = "regexp_replace(replace({c}, '\\', '/'), '^(\\./)+', '')"
