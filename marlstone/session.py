@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -49,10 +51,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_ROOTS: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables; it goes when Python ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _ROOTS:
+        _ROOTS[application] = f"{ensure_checkpoint_dir(spark)}/tables-{application}-{uuid.uuid4().hex[:8]}"
+
+        def clean(path: str = _ROOTS[application]) -> None:
+            try:
+                _delete(spark, path)
+            except Exception:  # noqa: BLE001 - the session has ended already
+                pass
+
+        atexit.register(clean)
+    return _ROOTS[application]
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df through the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of df: write it as a table in the shared folder and read that.
+
+    Unlike a checkpoint the table has sizes of its own. Estimates that are
+    carried through a loop of joins multiply in every round.
+    """
+    spark = df.sparkSession
+    path = f"{_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._marlstone_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize made, once nothing reads it any more."""
+    path = getattr(df, "_marlstone_path", None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
 _SHIPPED: set[str] = set()
