@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.skew import hot_keys, replicated, salted
-from marlstone.session import materialize
+from marlstone.session import discard, materialize
 
 SALTS = 32
 
@@ -66,13 +66,13 @@ def _collapse(hooks: DataFrame) -> tuple[DataFrame, int]:
     current = materialize(hooks)
     rows = current.count()
     while True:
-        jump = current.select(F.col("id").alias("self"), F.col("to").alias("up"), F.col("to").alias("next"))
-        jump = _lookup(jump, "next", current.select("id", "to"), rows)
+        table = current.select("id", "to")
+        jump = _lookup(table.select(F.col("id").alias("self"), F.col("to").alias("up"), F.col("to").alias("next")), "next", table, rows)
         doubled = materialize(jump.select(F.col("self").alias("id"), F.col("next").alias("to"), (F.col("next") != F.col("up")).alias("moved")))
-        moved = doubled.filter("moved").limit(1).count()
-        current = doubled.select("id", "to")
-        if not moved:
-            return current, rows
+        discard(current)
+        current = doubled
+        if doubled.filter("moved").isEmpty():
+            return doubled.select("id", "to"), rows
 
 
 def boruvka(edges: DataFrame) -> DataFrame:
@@ -86,7 +86,8 @@ def boruvka(edges: DataFrame) -> DataFrame:
     while size := left.count():
         roots, rows = _collapse(_hook(left))
         maps.append((roots, rows))
-        left = materialize(tidy(_lookup(_lookup(left, "u", roots, size), "v", roots, size)))
+        before, left = left, materialize(tidy(_lookup(_lookup(left, "u", roots, size), "v", roots, size)))
+        discard(before)
     if not maps:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).limit(0)
     final, _ = maps.pop()
