@@ -23,10 +23,6 @@ def truncation(df: DataFrame, field: str, shown: int, reason: str) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """Keep k rows per group and add the group's size as ``group_total``."""
-    by = Window.partitionBy(*group)
-    return (
-        df.withColumn("_rn", F.row_number().over(by.orderBy(*order)))
-        .withColumn("group_total", F.count(F.lit(1)).over(by))
-        .filter(F.col("_rn") <= k)
-        .drop("_rn")
-    )
+    totals = df.groupBy(*group).agg(F.count(F.lit(1)).alias("group_total"))
+    first = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_rn") <= k).drop("_rn")  # limited before the shuffle
+    return first.join(totals, group)

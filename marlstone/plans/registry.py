@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import data_quality
+from marlstone.plans import data_quality, files, scans
 
-MODULES = [data_quality]
+MODULES = [data_quality, files, scans]
 FLAGSHIP = "p1_snapshots"
 
 
