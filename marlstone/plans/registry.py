@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import data_quality, files, scans
+from marlstone.plans import code_graph, data_quality, files, scans
 
-MODULES = [data_quality, files, scans]
+MODULES = [data_quality, files, scans, code_graph]
 FLAGSHIP = "p1_snapshots"
 
 
