@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.plans import code_graph, data_quality, files, scans
+from marlstone.plans import code_graph, data_quality, files, retrieval, scans
 
-MODULES = [data_quality, files, scans, code_graph]
-FLAGSHIP = "p1_snapshots"
+MODULES = [data_quality, files, scans, code_graph, retrieval]
+FLAGSHIP = "bm25_topk"
 
 
 def queries() -> dict:
