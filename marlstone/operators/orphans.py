@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.identity import digest_key
 from marlstone.operators.skew import hot_keys, replicated, salted
 
-FOREVER = F.lit(2**63 - 1)
+FOREVER = 2**63 - 1
 SALTS = 32
 
 
@@ -53,7 +53,7 @@ def parent_rows(df: DataFrame, field: str, kind: str) -> DataFrame:
         F.lit(kind).alias("kind"),
         digest_key(F.col(field)).alias("key"),
         _micros(F.col("loaded_at").cast("timestamp")).alias("from"),
-        F.coalesce(_micros(F.col("deleted_at").cast("timestamp")), FOREVER).alias("to"),
+        F.coalesce(_micros(F.col("deleted_at").cast("timestamp")), F.lit(FOREVER)).alias("to"),
     ).filter(F.col("key").isNotNull() & F.col("from").isNotNull() & (F.col("from") < F.col("to")))
 
 
@@ -131,7 +131,7 @@ def spells(probed: DataFrame) -> DataFrame:
     at = F.coalesce(F.col("at"), F.lit(-(2**63)))
     alive = F.coalesce(F.filter(F.col("spans"), lambda s: s["to"] > at), F.array().cast("array<struct<from:bigint,to:bigint>>"))
     starts = F.concat(F.array(at), F.transform(alive, lambda s: s["to"]))
-    ends = F.concat(F.transform(alive, lambda s: s["from"]), F.array(FOREVER))
+    ends = F.concat(F.transform(alive, lambda s: s["from"]), F.array(F.lit(FOREVER)))
     pairs = F.filter(F.arrays_zip(starts.alias("from"), ends.alias("to")), lambda p: p["from"] < p["to"])
     return probed.select("ref_table", "ref_field", "ref_id", F.explode(pairs).alias("p"), at.alias("_at")).select(
         "ref_table", "ref_field", "ref_id", F.col("p.from").alias("from"), F.col("p.to").alias("to"), (F.col("p.from") > F.col("_at")).alias("reopened")
