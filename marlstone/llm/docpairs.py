@@ -61,9 +61,9 @@ _JS_TYPE = r"(?:\s*+:\s*+(?:[^{=;\n]|=>)++(?:\{[^{}]*+\}[\[\]]*+(?=\s*+\{))?+)?+
 _SCRIPT = regex.compile(
     _C_PARTS
     + rf"""(?:^[ \t]*+{_JSDOC}[ \t]*+(?:@[\w.]++(?&paren)?+[ \t]++)*+(?<head>
-   (?:export\s++(?:default\s++)?)?(?:declare\s++)?(?:async\s++)?function\b\s*+\*?\s*+(?<name>{_WORD})\s*+(?:<[^()]*+>)?+\s*+(?&paren){_JS_TYPE}
-  |(?:export\s++(?:default\s++)?)?(?:const|let|var)\s++(?<name>{_WORD})\s*+(?::(?:[^=\n]|=>)++)?+=\s*+(?:async\b\s*+)?(?:function\b\s*+\*?\s*+(?:{_WORD})?+\s*+(?&paren){_JS_TYPE}|(?:<[^()]*+>)?+(?&paren){_ARROW_TYPE}\s*+=>|{_WORD}\s*+=>)
-  |(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s++)*+\*?\s*+(?<name>(?!(?:if|for|while|switch|catch|with|return|function|new|do|else|typeof|await|super|this)\b)\#?{_WORD})\s*+\??(?:<[^()]*+>)?+\s*+(?&paren){_JS_TYPE}(?=\s*+\{{)
+   (?:export\s++(?:default\s++)?)?(?:declare\s++)?(?:async\s++)?function\b\s*+\*?\s*+(?<name>{_WORD})\s*+(?:<[^()]*>)?+\s*+(?&paren){_JS_TYPE}
+  |(?:export\s++(?:default\s++)?)?(?:const|let|var)\s++(?<name>{_WORD})\s*+(?::(?:[^=\n]|=>)++)?+=\s*+(?:async\b\s*+)?(?:function\b\s*+\*?\s*+(?:{_WORD})?+\s*+(?&paren){_JS_TYPE}|(?:<[^()]*>)?+(?&paren){_ARROW_TYPE}\s*+=>|{_WORD}\s*+=>)
+  |(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s++)*+\*?\s*+(?<name>(?!(?:if|for|while|switch|catch|with|return|function|new|do|else|typeof|await|super|this)\b)\#?{_WORD})\s*+\??(?:<[^()]*>)?+\s*+(?&paren){_JS_TYPE}(?=\s*+\{{)
  )\s*+(?<code>(?&body))?+)|(?<skip>(?&com)|(?&str)|(?&re))""",
     regex.M | regex.X | regex.V1,
 )

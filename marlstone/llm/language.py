@@ -158,6 +158,7 @@ class Model:
     logs: list[np.ndarray] = field(default_factory=list)  # their log probabilities, a column per language
     contexts: list[HashArray] = field(default_factory=list)  # contexts of length 1, 2, ...
     weights: list[np.ndarray] = field(default_factory=list)  # log back-off weights of the contexts
+    floor: np.ndarray = field(default_factory=lambda: np.full(len(LANGUAGES), -np.log(SYMBOLS), np.float32))  # of a symbol nobody has seen
     temper: float = 1.0
     typical: np.ndarray = field(default_factory=lambda: np.full(len(LANGUAGES), 2.0))
     spread: float = 10.0
@@ -204,7 +205,7 @@ class Model:
                 known = at >= 0
                 rest[known] += self.weights[n - 2][at[known]]
             else:
-                scores[todo] = rest + np.float32(-np.log(SYMBOLS))
+                scores[todo] = rest + self.floor
             carried = rest
         # the last ORDER - 1 places of a slice belong to n-grams that run into the next text's blanks
         ends = np.append(starts[1:], len(symbols))
@@ -277,7 +278,9 @@ def fit(samples: list[list[str]]) -> Model:
             probs[:, l] = np.maximum(mine - discount, 0) / np.maximum(total, 1)[context] + back[context] * below
         model.tables.append(table)
         model.logs.append(np.log(np.maximum(probs, 1e-12)).astype(np.float32))
-        if n > 1:
+        if n == 1:
+            model.floor = (weights[0] - np.log(SYMBOLS)).astype(np.float32)
+        else:
             model.contexts.append(contexts)
             model.weights.append(weights.astype(np.float32))
         lower = probs
