@@ -12,6 +12,8 @@ K1, B = 1.5, 0.75
 RECALL_AT = [1, 5, 10, 20]
 BUDGETS = [500, 1000, 2000, 4000, 8000, 16000, 32000]
 MISS_TOKENS = 32_000
+#: Terms of all requests up to which they are broadcast; the postings of a common term then stay spread over the documents.
+BROADCAST_TERMS = 200_000
 
 
 def postings(docs: DataFrame, doc: str, content: str) -> DataFrame:
@@ -32,12 +34,15 @@ def bm25(docs: DataFrame, doc: str, content: str, queries: DataFrame, query: str
     wanted = queries.select(F.col(query).alias("query"), F.explode(text.bm25_tokens(F.col(request))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     sizes = docs.select(F.size(text.bm25_tokens(F.col(content))).alias("length"))
     corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    post = materialize(postings(docs, doc, content).join(wanted.select("term").distinct(), "term", "left_semi"))
+    asked = materialize(wanted)
+    small = asked.count() <= BROADCAST_TERMS
+    hint = F.broadcast if small else lambda d: d
+    post = materialize(postings(docs, doc, content).join(hint(asked.select("term").distinct()), "term", "left_semi"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average"))
     scored = (
-        wanted.join(df, "term").join(post, "term").crossJoin(F.broadcast(corpus))
+        post.join(hint(asked.join(df, "term")), "term").crossJoin(F.broadcast(corpus))
         .groupBy("query", "doc").agg(F.round(F.sum(F.col("qtf") * idf * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
     )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
