@@ -25,6 +25,7 @@ class Pattern:
     reason: str = ""
     most: int = 0
     generic: bool = False
+    bounded: str = ""  # a line all of whose matches continue like this is no hit
 
 
 #: Content patterns of the risk score.
@@ -35,7 +36,7 @@ RISK = [
     Pattern("http-client", r"\bhttp\.(?:Get|Post|Head)\(", "api-contracts", 8, "outbound http boundary", 3),
     Pattern("database-open", r"\b(?:sql\.Open|pgxpool\.New|pgx\.Connect)\(", "data-integrity", 10, "database boundary", 3),
     Pattern("filesystem-write", r"\bos\.(?:WriteFile|Create(?:Temp)?|Remove(?:All)?|Rename|MkdirAll)\(", "data-integrity", 8, "filesystem write boundary", 3),
-    Pattern("unbounded-read", r"\bio\.ReadAll\(", "performance", 6, "unbounded read", 3),
+    Pattern("unbounded-read", r"\bio\.ReadAll\(", "performance", 6, "unbounded read", 3, bounded=r"\s*io\.LimitReader\("),
     Pattern("change-marker", r"\b(?:TODO|FIXME|HACK|XXX)\b", "best-practices", 4, "change marker", 3, True),
     Pattern("goroutine", r"\bgo\s+func\(", "lifecycle-concurrency", 6, "goroutine launch", 3),
     Pattern("panic", r"\bpanic\(", "error-handling", 4, "panic path", 3),
@@ -92,7 +93,10 @@ def hits(lines: DataFrame, patterns: list[Pattern], line_text: str = "text") ->
 
     def one(i: int, p: Pattern) -> Column:
         name = F.regexp_extract(line_text, p.regex, 1) if "([^" in p.regex else F.lit("")
-        return F.when(F.col(line_text).rlike(p.regex), F.struct(F.lit(i).alias("ordinal"), F.lit(p.kind).alias("kind"), F.lit(p.lane).alias("lane"), name.alias("name")))
+        holds = F.col(line_text).rlike(p.regex)
+        if p.bounded:
+            holds = holds & (F.regexp_count(line_text, F.lit(p.regex)) > F.regexp_count(line_text, F.lit(p.regex + p.bounded)))
+        return F.when(holds, F.struct(F.lit(i).alias("ordinal"), F.lit(p.kind).alias("kind"), F.lit(p.lane).alias("lane"), name.alias("name")))
 
     every = F.filter(F.array(*[one(i, p) for i, p in enumerate(patterns)]), lambda h: h.isNotNull())
     return lines.withColumn("_hit", F.explode(every)).select("*", "_hit.*").drop("_hit")

@@ -103,6 +103,7 @@ def _hits(patterns: list[linescan.Pattern], source: str) -> str:
     return " UNION ALL ".join(
         f"SELECT path, language, number, text, {i} AS ordinal, '{p.kind}' AS kind, '{p.lane}' AS lane, {p.weight} AS weight, '{p.reason}' AS reason, {p.most} AS most, {str(p.generic).lower()} AS generic, "
         f"{'regexp_extract(text, ' + chr(39) + _q(p.regex) + chr(39) + ', 1)' if '([^' in p.regex else chr(39) * 2} AS name FROM {source} WHERE regexp_matches(text, '{_q(p.regex)}')"
+        + (f" AND len(regexp_extract_all(text, '{_q(p.regex)}')) > len(regexp_extract_all(text, '{_q(p.regex + p.bounded)}'))" if p.bounded else "")
         for i, p in enumerate(patterns)
     )
 

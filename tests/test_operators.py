@@ -106,6 +106,12 @@ def test_risk_decay_and_cap(spark):
     assert {(r.path, r.score) for r in linescan.risk_files(points).collect()} == {("password/credential.go", 18), ("b.go", 7)}
 
 
+def test_bounded_reads_are_no_risk(spark):
+    rows = ["b, err := io.ReadAll(io.LimitReader(r, 9))", "b, err := io.ReadAll(r)", "x(io.ReadAll(io.LimitReader(r, 9)), io.ReadAll(q))"]
+    found = linescan.hits(_lines(spark, [("a.go", "r", "go", "production", i, t) for i, t in enumerate(rows)]), linescan.RISK)
+    assert sorted(r.number for r in found.filter("kind = 'unbounded-read'").collect()) == [1, 2]
+
+
 def test_symbols_and_orphans(spark):
     lines = _lines(spark, [
         ("a.go", "r", "go", "production", 1, "func Used(x int) int {"), ("a.go", "r", "go", "production", 2, "func Lost() {"), ("a.go", "r", "go", "production", 3, "func (t *T) Tested() {"),
