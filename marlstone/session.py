@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -117,6 +118,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Read one table of a data folder."""
+    """Read one table of a data folder.
+
+    Timestamps without a zone are UTC; in a session of another zone they are
+    turned into instants here, since a plain cast would read them as local time.
+    """
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        return df
+    plain = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
+    return df.withColumns({c: F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")) for c in plain}) if plain else df
