@@ -37,12 +37,14 @@ def bm25(docs: DataFrame, doc: str, content: str, queries: DataFrame, query: str
     asked = materialize(wanted)
     small = asked.count() <= BROADCAST_TERMS
     hint = F.broadcast if small else lambda d: d
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     post = materialize(postings(docs, doc, content).join(hint(asked.select("term").distinct()), "term", "left_semi"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average"))
     scored = (
-        post.join(hint(asked.join(df, "term")), "term").crossJoin(F.broadcast(corpus))
+        # spread by document before each posting meets every request with its term: the sums then need no shuffle
+        post.repartition(parts, "doc").join(hint(asked.join(df, "term")), "term").crossJoin(F.broadcast(corpus))
         .groupBy("query", "doc").agg(F.round(F.sum(F.col("qtf") * idf * F.col("tf") * (K1 + 1) / norm), 9).alias("score"))
     )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
