@@ -77,6 +77,17 @@ ORACLES = {
     "p1_found": f"""WITH {_REFS}
 SELECT ref_table, ref_field, ref_id FROM refs WHERE k IS NOT NULL AND NOT EXISTS (
   SELECT 1 FROM par WHERE par.ref_field = refs.ref_field AND par.k = refs.k AND par.loaded_at <= refs.t AND (par.deleted_at IS NULL OR refs.t < par.deleted_at))""",
+    "p1_snapshots": f"""WITH {_REFS},
+sp AS (SELECT ref_field, k, loaded_at AS a, coalesce(deleted_at, TIMESTAMP '9999-01-01') AS b FROM par WHERE k IS NOT NULL AND loaded_at IS NOT NULL AND (deleted_at IS NULL OR loaded_at < deleted_at)),
+nw AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY ref_field, k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM sp),
+gr AS (SELECT *, sum(fresh) OVER (PARTITION BY ref_field, k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM nw),
+isl AS (SELECT ref_field, k, min(a) AS a, max(b) AS b FROM gr GROUP BY ref_field, k, g),
+ev AS (
+  SELECT ref_table, refs.ref_field, t AS at_time, 1 AS opened, 0 AS reopened, 0 AS resolved FROM refs WHERE refs.k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM isl WHERE isl.ref_field = refs.ref_field AND isl.k = refs.k AND isl.a <= refs.t AND refs.t < isl.b)
+  UNION ALL SELECT ref_table, refs.ref_field, isl.b, 1, 1, 0 FROM refs JOIN isl ON isl.ref_field = refs.ref_field AND isl.k = refs.k WHERE isl.b > refs.t AND isl.b < TIMESTAMP '9999-01-01'
+  UNION ALL SELECT ref_table, refs.ref_field, isl.a, 0, 0, 1 FROM refs JOIN isl ON isl.ref_field = refs.ref_field AND isl.k = refs.k WHERE isl.a > refs.t),
+pe AS (SELECT ref_table, ref_field, date_trunc('month', at_time)::TIMESTAMP AS period, sum(opened)::BIGINT AS opened, sum(reopened)::BIGINT AS reopened, sum(resolved)::BIGINT AS resolved FROM ev GROUP BY 1, 2, 3)
+SELECT *, (sum(opened - resolved) OVER (PARTITION BY ref_table, ref_field ORDER BY period))::BIGINT AS waiting FROM pe""",
     "p4_found": f"WITH {_RANKED} SELECT outcome_id FROM ranked WHERE rn > 1",
     "p4_kept": f"WITH {_RANKED} SELECT lane, verdict, count(*)::BIGINT AS messages, sum(review_ms)::BIGINT AS review_ms FROM ranked WHERE rn = 1 GROUP BY lane, verdict",
 }
