@@ -9,7 +9,7 @@ from marlstone.functions import text
 from marlstone.operators import declarations, duplicates, graphs
 from marlstone.plans.files import FILES
 from marlstone.plans.scans import LINES
-from marlstone.session import load
+from marlstone.session import load, materialize
 from marlstone.sources import adapters
 
 
@@ -113,14 +113,23 @@ def graph_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.hubs(_trade(spark, sf_dir))
 
 
-def importer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of the number of distinct sources of every node."""
-    n = graphs.distinct_edges(_trade(spark, sf_dir, 7)).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("importers"))
+def _importers(edges: DataFrame) -> DataFrame:
+    n = graphs.distinct_edges(edges).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("importers"))
     return n.withColumn("score", graphs.import_score(F.col("importers")).cast("long"))
 
 
+def importer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of the number of distinct sources of every node of the first week's trade graph."""
+    return _importers(_trade(spark, sf_dir, 7))
+
+
+def importer_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of the number of distinct sources of every node of the trade graph."""
+    return _importers(_trade(spark, sf_dir))
+
+
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade(spark, sf_dir, 60).filter("src <> dst").groupBy("src", "dst").agg(F.sqrt(F.count(F.lit(1)).cast("double")).alias("weight"))
+    return _trade(spark, sf_dir).filter("src <> dst").groupBy("src", "dst").agg(F.sqrt(F.count(F.lit(1)).cast("double")).alias("weight"))
 
 
 def pagerank_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,18 +143,35 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.strong_components(_trade(spark, sf_dir, 7))
 
 
+def strong_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong component of every node of the trade graph."""
+    return graphs.strong_components(_trade(spark, sf_dir))
+
+
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the first week's trade graph that hold a cycle."""
     edges = _trade(spark, sf_dir, 7)
     return graphs.cycles(edges, graphs.strong_components(edges))
 
 
+def graph_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the trade graph that hold a cycle."""
+    edges = materialize(graphs.distinct_edges(_trade(spark, sf_dir)))
+    return graphs.cycles(edges, graphs.strong_components(edges))
+
+
 def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that the smallest source reaches, with the fewest steps."""
+    """Nodes of the first week's trade graph that its smallest source reaches, with the fewest steps."""
     edges = _trade(spark, sf_dir, 7)
     return graphs.reachable(edges, edges.agg(F.min("src").alias("node")))
 
 
+def reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trade graph that its smallest source reaches, with the fewest steps."""
+    edges = materialize(graphs.distinct_edges(_trade(spark, sf_dir)))
+    return graphs.reachable(edges, edges.agg(F.min("src").alias("node")))
+
+
 def suffix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clone names joined to captured paths by their longest suffix."""
     pairs = load(spark, sf_dir, "clone_pairs")
@@ -158,6 +184,7 @@ QUERIES = {
     for q in (
         symbol_kinds, find_symbol, call_edges, callers, orphan_symbols, dead_symbols, repeated_declarations, symbol_references,
         graph_kinds, graph_degrees, graph_hubs, importer_scores, pagerank_bonus, strong_components, graph_cycles, reach, suffix_matches,
+        importer_scores_whole, strong_components_whole, graph_cycles_whole, reach_whole,
     )
 }
 
