@@ -14,8 +14,9 @@ from marlstone.sources import adapters
 INTENT = "scan the handler tokens and fold each ledgerBudget"
 
 
-def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "eval_cases").select(F.col("case_id").alias("query"), F.split("passage", r"\. ", 2)[0].alias("request"))
+def _queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    request = F.col("passage") if whole else F.split("passage", r"\. ", 2)[0]
+    return load(spark, sf_dir, "eval_cases").select(F.col("case_id").alias("query"), request.alias("request"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,29 +33,47 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.join(sentences(_documents(spark, sf_dir), "doc", "text"), "s").select("query", "doc").distinct()
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(_documents(spark, sf_dir), "doc", "text", _queries(spark, sf_dir), "query", "request")
+def _ranked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return retrieval.bm25(_documents(spark, sf_dir), "doc", "text", _queries(spark, sf_dir, whole), "query", "request")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty best documents of every held-out request."""
+    """The twenty best documents of the first sentence of every held-out passage."""
     return _ranked(spark, sf_dir)
 
 
+def bm25_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every held-out passage."""
+    return _ranked(spark, sf_dir, True)
+
+
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, reciprocal rank and NDCG of every request with gold."""
     return retrieval.metrics(_ranked(spark, sf_dir), _gold(spark, sf_dir))
 
 
+def retrieval_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall, reciprocal rank and NDCG of every whole passage with gold."""
+    return retrieval.metrics(_ranked(spark, sf_dir, True), _gold(spark, sf_dir))
+
+
 def mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the metrics."""
-    m = retrieval_metrics(spark, sf_dir)
+    return _means(retrieval_metrics(spark, sf_dir))
+
+
+def mean_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the metrics of whole passages."""
+    return _means(retrieval_metrics_whole(spark, sf_dir))
+
+
+def _means(m: DataFrame) -> DataFrame:
     return m.agg(F.count(F.lit(1)).alias("cases"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in m.columns if c != "query"])
 
 
-def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _costs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     cost = _documents(spark, sf_dir).select("doc", text.token_estimate(F.col("text")).alias("tokens"))
-    return retrieval.first_relevant_cost(_ranked(spark, sf_dir), _gold(spark, sf_dir), cost)
+    return retrieval.first_relevant_cost(_ranked(spark, sf_dir, whole), _gold(spark, sf_dir), cost)
 
 
 def first_relevant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +81,21 @@ def first_relevant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _costs(spark, sf_dir)
 
 
+def first_relevant_tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens read before the first relevant document of a whole passage."""
+    return _costs(spark, sf_dir, True)
+
+
 def recall_at_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of requests answered within each budget."""
     return retrieval.recall_at_budgets(_costs(spark, sf_dir))
 
 
+def recall_at_budget_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of whole passages answered within each budget."""
+    return retrieval.recall_at_budgets(_costs(spark, sf_dir, True))
+
+
 def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out cases per classification, and whether there are enough of them to judge."""
     n = load(spark, sf_dir, "eval_cases").groupBy("classification").agg(F.count(F.lit(1)).alias("cases"), F.count_distinct("category").alias("categories"))
@@ -120,7 +149,7 @@ def file_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("path", "users", level.alias("risk"))
 
 
-QUERIES = {q.__name__: q for q in (bm25_topk, retrieval_metrics, mean_metrics, first_relevant_tokens, recall_at_budget, eval_gate, rank_components, file_rank, rank_tiers, header_cutoff, file_impact)}
+QUERIES = {q.__name__: q for q in (bm25_topk, retrieval_metrics, mean_metrics, first_relevant_tokens, recall_at_budget, eval_gate, rank_components, file_rank, rank_tiers, header_cutoff, file_impact, bm25_topk_whole, retrieval_metrics_whole, mean_metrics_whole, first_relevant_tokens_whole, recall_at_budget_whole)}
 _ = paths
 
 _BM = r"""q AS (SELECT case_id AS query, split_part(passage, '. ', 1) AS request FROM eval_cases),
@@ -167,3 +196,5 @@ ORACLES = {
     "header_cutoff": f"WITH {_COMPONENTS}, r AS (SELECT f.path, coalesce(sum(points), 0) AS score FROM f LEFT JOIN parts USING (path) GROUP BY f.path), w AS (SELECT path, row_number() OVER (ORDER BY score DESC, path)::INT AS position, sum(strlen(path) + 30) OVER (ORDER BY score DESC, path) AS cost FROM r) SELECT path, position FROM w WHERE cost <= 2867",
     "file_impact": rf"WITH {SYMBOLS}, {_USERS}, n AS (SELECT dst AS path, count(DISTINCT src)::BIGINT AS users FROM e GROUP BY dst) SELECT path, users, CASE WHEN users > 10 THEN 'high' WHEN users > 3 OR (path IN (SELECT path FROM s WHERE exported) AND path NOT IN (SELECT regexp_replace(path, '_test\.go$', '.go') FROM f WHERE path LIKE '%\_test.go' ESCAPE '\')) THEN 'medium' ELSE 'low' END AS risk FROM n",
 }
+#: The same SQL with the whole passage as the request.
+ORACLES |= {f"{name}_whole": ORACLES[name].replace("split_part(passage, '. ', 1)", "passage") for name in ("bm25_topk", "retrieval_metrics", "mean_metrics", "first_relevant_tokens", "recall_at_budget")}
