@@ -46,6 +46,22 @@ def surplus(df: DataFrame, ids: list[str], timestamp: str, row_id: str, arrival:
     return marked.filter(F.col("_kept").isNull() | (F.col("_nth") > 1)).select(F.col("_id").alias(row_id))
 
 
+def kept_rows(df: DataFrame, ids: list[str], timestamp: str, row_id: str, arrival: str) -> DataFrame:
+    """The rows that belong to no message, and one row of each message: its first by arrival, then row id.
+
+    Of rows that repeat the keeper's id at the same time, one stays, by a hash of its columns. The whole row is
+    taken along with the minimum, so a message of many rows is reduced before it is gathered.
+    """
+    keys = [f"_k{i}" for i in range(len(ids))] + ["_at"]
+    when = F.coalesce(F.unix_micros(F.col(arrival).cast("timestamp")), F.lit(2**63 - 1))
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), *message_columns(ids, timestamp), F.struct(when.alias("a"), F.col(row_id).alias("i"), F.xxhash64(*df.columns).alias("h")).alias("_order"))
+    known = F.lit(True)
+    for k in keys[:-1]:
+        known = known & F.col(k).isNotNull()
+    first = rows.filter(known).groupBy(*keys).agg(F.min_by("_row", "_order").alias("_row"))
+    return rows.filter(~known).select("_row.*").unionByName(first.select("_row.*"))
+
+
 def admit(stored: DataFrame, batch: DataFrame, ids: list[str], timestamp: str, row_id: str, arrival: str) -> DataFrame:
     """Rows of a new batch to store: no surplus within it, and no message that is stored already.
 
@@ -53,8 +69,7 @@ def admit(stored: DataFrame, batch: DataFrame, ids: list[str], timestamp: str, r
     is after earlier calls; the join drops messages by their identifiers, null-safe on the timestamp.
     """
     keys = [f"_k{i}" for i in range(len(ids))] + ["_at"]
-    extra = surplus(batch, ids, timestamp, row_id, arrival).select(F.col(row_id).alias("_surplus")).distinct()
-    fresh = batch.select("*", *message_columns(ids, timestamp)).join(extra, F.col(row_id) == F.col("_surplus"), "left_anti")
+    fresh = kept_rows(batch, ids, timestamp, row_id, arrival).select("*", *message_columns(ids, timestamp))
     known = stored.select(*message_columns(ids, timestamp)).distinct()
     same = [F.col(f"b.{k}") == F.col(f"s.{k}") for k in keys[:-1]] + [F.col("b._at").eqNullSafe(F.col("s._at"))]
     cond = same[0]

@@ -45,10 +45,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages per lane and verdict after exactly one row of each is kept."""
-    outcomes = load(spark, sf_dir, "outcomes")
-    surplus = delivery.surplus(outcomes, *MESSAGE)
+    outcomes = load(spark, sf_dir, "outcomes").select(*MESSAGE[0], *MESSAGE[1:], "lane", "verdict", "review_ms")
     return (
-        outcomes.join(surplus.distinct(), "outcome_id", "left_anti")
+        delivery.kept_rows(outcomes, *MESSAGE)
         .groupBy("lane", "verdict")
         .agg(F.count(F.lit(1)).alias("messages"), F.sum(F.col("review_ms").cast("long")).alias("review_ms"))
     )

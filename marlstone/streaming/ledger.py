@@ -43,8 +43,9 @@ def store_once(target: str, message: tuple = (["report_id", "evidence_id"], "tim
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        stored_schema = T.StructType([*batch.schema.fields, T.StructField("batch_no", T.LongType())])  # add() would change the batch's own schema
         try:
-            stored = spark.read.schema(batch.schema.add("batch_no", "long")).parquet(target).filter(F.col("batch_no") < number).drop("batch_no")
+            stored = spark.read.schema(stored_schema).parquet(target).filter(F.col("batch_no") < number).drop("batch_no")
         except Exception:  # noqa: BLE001 - no batch is stored yet
             stored = batch.limit(0)
         fresh = delivery.admit(stored, batch, *message)
