@@ -2,12 +2,13 @@
 
 State is keyed by the referenced identifier and consists of two tables:
 
-* the parent index, one row per id with the disjoint spans ``[from, to)`` in which a record with that id exists;
-* the references, one row each with the time they are made.
+* the existence rows ``[from, to)`` of the parents, unmerged, so that a deletion finds the row it ends;
+* the references, one row each with the time they are made: a later deletion can reopen any of them.
 
-``advance`` takes the next batch: new references probe the parent index,
-arriving parents resolve waiting orphans (a late record that was loaded before
-the reference was made even makes it a sound one), deletions reopen them.
+``advance`` takes the next batch into both. ``probe`` merges the rows of an id to
+disjoint spans and joins all references to them: arriving parents resolve waiting
+orphans (a late record that was loaded before the reference was made even makes
+it a sound one), deletions reopen them. No table of waiting orphans is kept.
 ``spells`` turns the state into the spans in which a reference is pending, and
 ``snapshot_counts`` counts those at the end of each period.
 
@@ -80,7 +81,7 @@ def merge_parents(spans: DataFrame) -> DataFrame:
 
 @dataclass
 class OrphanState:
-    """Keyed state between batches; both parts are plain tables and can be written."""
+    """Keyed state between batches: existence rows and references; both are plain tables and can be written."""
 
     parents: DataFrame
     references: DataFrame
@@ -90,14 +91,15 @@ def advance(state: OrphanState | None, references: DataFrame, parents: DataFrame
     """Take a batch of references and of parent existence rows into the state.
 
     A deletion comes as the parent's row with its end; it replaces the open
-    span with the same start.
+    row with the same start. Rows of other starts stay, also where they overlap or touch.
     """
+    rows = parents.select("kind", "key", "from", "to")
     if state is None:
-        return OrphanState(merge_parents(parents), references)
-    before = state.parents.select("kind", "key", F.explode("spans").alias("s")).select("kind", "key", "s.from", "s.to")
+        return OrphanState(rows, references)
+    before = state.parents
     closed = parents.filter(F.col("to") < FOREVER).select("kind", "key", "from", F.lit(True).alias("_closed")).distinct()
     kept = before.join(closed, ["kind", "key", "from"], "left").filter(~(F.col("_closed").isNotNull() & (F.col("to") == FOREVER))).drop("_closed")
-    return OrphanState(merge_parents(kept.unionByName(parents)), state.references.unionByName(references))
+    return OrphanState(kept.unionByName(rows).distinct(), state.references.unionByName(references))
 
 
 def probe(state: OrphanState, kind_of: dict[str, str], salts: int = SALTS) -> DataFrame:
@@ -109,7 +111,7 @@ def probe(state: OrphanState, kind_of: dict[str, str], salts: int = SALTS) -> Da
     refs = state.references.withColumn("kind", kind[F.col("ref_field")])
     hot = hot_keys(refs, "key")
     left = salted(refs, "key", hot, salts, F.struct("ref_table", "ref_id"))
-    right = replicated(state.parents, "key", hot, salts)
+    right = replicated(merge_parents(state.parents), "key", hot, salts)
     return left.join(right, ["kind", "key", "_salt"], "left").drop("_salt")
 
 
