@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from marlstone.functions import paths, text
 from marlstone.session import load
 
-#: Lines of a file that scans look at; the rest is reported as a truncation.
-MAX_LINES = 20_000
-
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured files: path, language of the path, size, generated flag, class, content."""
@@ -22,10 +19,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_lines(files_: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
-    """Lines of each file: path, number from 1, raw and trimmed text."""
+def source_lines(files_: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """Lines of each file: path, number from 1, raw and trimmed text; all of them unless ``max_lines`` is given."""
     split = files_.select("path", "repo", "language", "class", F.posexplode(F.split("content", "\n")).alias("pos", "raw"))
-    return split.filter(F.col("pos") < max_lines).select("path", "repo", "language", "class", (F.col("pos") + 1).alias("number"), "raw", text.trimmed(F.col("raw")).alias("text"))
+    if max_lines is not None:
+        split = split.filter(F.col("pos") < max_lines)
+    return split.select("path", "repo", "language", "class", (F.col("pos") + 1).alias("number"), "raw", text.trimmed(F.col("raw")).alias("text"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
