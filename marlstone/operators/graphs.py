@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,12 +70,15 @@ def rank_bonus(edges: DataFrame, ranks: DataFrame, most: int = 30) -> DataFrame:
     return got.crossJoin(F.broadcast(got.agg(F.max("rank").alias("top")))).select("node", F.when(F.col("top") > 0, F.round(F.lit(most) * F.round("rank", 12) / F.round("top", 12))).otherwise(0).cast("int").alias("bonus"))
 
 
-def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, component) by forward and backward smallest labels; the component is its smallest node.
+def strong_components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, component) by forward and backward labels; the component is its smallest node.
 
-    Each round trims nothing but the edges: labels spread forward along the
-    edges left, then backward among nodes of one label; the nodes that both
-    passes give the label of their own root form its component and leave.
+    Each round spreads the smallest label forward along the edges left, then
+    walks back among nodes of one label; the nodes that both passes give the
+    label of their own root form its component and leave, and so do edges
+    between labels. Labels are ordered by a hash, so that nodes in the order of
+    their ids, as in a chain, split into many labels. It goes on until no node
+    is left; a bound on the rounds, where given, raises.
     """
     left = materialize(distinct_edges(edges))
     nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
@@ -90,20 +95,21 @@ def strong_components(edges: DataFrame, most: int = 1000) -> DataFrame:
             if label.filter("moved").isEmpty():
                 return label.select("node", "label")
 
-    for _ in range(most):
-        if todo.isEmpty():
-            break
-        forward = spread(left.select(F.col("src").alias("a"), F.col("dst").alias("b")), todo.select("node", F.col("node").alias("label")))
-        same = left.join(forward.select(F.col("node").alias("src"), F.col("label").alias("l1")), "src").join(forward.select(F.col("node").alias("dst"), F.col("label").alias("l2")), "dst").filter("l1 = l2")
+    while not todo.isEmpty():
+        if most is not None and len(parts) >= most:
+            raise RuntimeError(f"nodes are left after {most} rounds")
+        forward = spread(left.select(F.col("src").alias("a"), F.col("dst").alias("b")), todo.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias("label"))).select("node", F.col("label.n").alias("label"))
+        same = materialize(left.join(forward.select(F.col("node").alias("src"), F.col("label").alias("l1")), "src").join(forward.select(F.col("node").alias("dst"), F.col("label").alias("l2")), "dst").filter("l1 = l2").select("src", "dst"))
         reach = same.select(F.col("dst").alias("a"), F.col("src").alias("b"))
         roots = forward.filter("node = label").select("node")
         # within one forward label, walk back from its root: 0 marks what reaches the root
         marks = spread(reach, forward.join(roots.withColumn("root", F.lit(True)), "node", "left").select("node", F.when(F.col("root"), 0).otherwise(1).alias("label")))
-        found = materialize(marks.filter("label = 0").select("node").join(forward, "node").select("node", F.col("label").alias("component")))
+        rooted = materialize(marks.filter("label = 0").select("node").join(forward, "node").select("node", "label"))
+        found = materialize(rooted.join(rooted.groupBy("label").agg(F.min("node").alias("component")), "label").select("node", "component"))
         parts.append(found)
         gone = found.select("node")
         todo = materialize(todo.join(gone, "node", "left_anti"))
-        left = materialize(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        left = materialize(same.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
     out = parts[0] if parts else todo.select("node", F.col("node").alias("component"))
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -116,16 +122,18 @@ def cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     return components.join(loops, "node", "left").groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.max("loop"), F.lit(0)).alias("loop")).filter("nodes > 1 or loop = 1").select("component", "nodes")
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
-    """(node, steps): nodes reached from the start nodes and the fewest edges to them."""
+def reachable(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, steps): nodes reached from the start nodes and the fewest edges to them; a bound on the steps, where given, raises."""
     pairs = distinct_edges(edges)
     frontier = materialize(start.select("node").distinct().withColumn("steps", F.lit(0)))
     seen = frontier
-    for step in range(1, most):
+    for step in count(1):
         nxt = pairs.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = materialize(nxt.withColumn("steps", F.lit(step)))
         if frontier.isEmpty():
             break
+        if most is not None and step >= most:
+            raise RuntimeError(f"nodes are left after {most - 1} steps")
         seen = materialize(seen.unionByName(frontier))
     return seen
 
