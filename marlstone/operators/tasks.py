@@ -15,8 +15,8 @@ ATTEMPTS = 96
 
 
 def goal_terms(requests: DataFrame, key: str, request: str) -> DataFrame:
-    """(key, term) of every request."""
-    return requests.select(F.col(key).alias("key"), F.explode(text.expand_terms(F.col(request), 2)).alias("term"))
+    """(key, at, term) of every request, with the place of the term."""
+    return requests.select(F.col(key).alias("key"), F.posexplode(text.expand_terms(F.col(request), 2)).alias("at", "term"))
 
 
 def evidence_parts(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def evidence_parts(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def candidates(terms: DataFrame, parts: DataFrame, top: int = ATTEMPTS) -> DataFrame:
-    """(key, path, relevance, terms): best files of every request.
+    """(key, path, relevance, terms, covers): best files of every request, with the places of the terms they match.
 
     A term earns a field's weight where a part equals it, half of it where one
     is a prefix of the other (3 bytes at least). Prefixes meet in equality
@@ -50,7 +50,7 @@ def candidates(terms: DataFrame, parts: DataFrame, top: int = ATTEMPTS) -> DataF
     of_field = parts.join(matches, "part").groupBy("path", "field", "value", "term").agg(F.max("exact").alias("exact"))
     points = F.when(F.col("exact") == 1, weight[F.col("field")]).otherwise(F.greatest(F.lit(1), F.expr("weight div 2")))
     scored = of_field.withColumn("weight", weight[F.col("field")]).withColumn("points", points)
-    hit = terms.join(scored, "term").groupBy("key", "path").agg(F.sum("points").cast("long").alias("relevance"), F.count_distinct("term").alias("terms"))
+    hit = terms.join(scored, "term").groupBy("key", "path").agg(F.sum("points").cast("long").alias("relevance"), F.count_distinct("term").alias("terms"), F.collect_set("at").alias("covers"))
     order = Window.partitionBy("key").orderBy(F.desc("relevance"), "path")
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
@@ -61,7 +61,9 @@ def confidence(relevance):
 
 
 def pack(found: DataFrame, costs: DataFrame, budgets: DataFrame, most: int = 6) -> DataFrame:
-    """(key, rank, path, tokens, used): candidates in order while they fit the request's budget; one that doesn't is skipped.
+    """(key, rank, path, tokens, used): candidates that fit the request's budget; one that doesn't is skipped.
+
+    The strongest comes first, then for each term that no packed file matches the best file that does, then the rest in order.
 
     Sequential by definition; a request has at most ``ATTEMPTS`` candidates, so a group is small.
     """
@@ -69,13 +71,29 @@ def pack(found: DataFrame, costs: DataFrame, budgets: DataFrame, most: int = 6)
     kind = dict(found.dtypes)["key"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        used, rows = 0, []
-        for r in group.sort_values("rank").itertuples():
-            if len(rows) < most and used + r.tokens <= r.budget:
-                used += r.tokens
-                rows.append((r.key, r.rank, r.path, r.tokens, used))
+        used, rows, covered, tried = 0, [], set(), set()
+        order = list(group.sort_values("rank").itertuples())
+
+        def attempt(r) -> None:
+            nonlocal used
+            if r.path not in tried and len(rows) < most:
+                tried.add(r.path)
+                if used + r.tokens <= r.budget:
+                    used += r.tokens
+                    covered.update(r.covers)
+                    rows.append((r.key, r.rank, r.path, r.tokens, used))
+
+        attempt(order[0])
+        for term in sorted({t for r in order for t in r.covers}):
+            for r in order:
+                if term in covered:
+                    break
+                if term in r.covers:
+                    attempt(r)
+        for r in order:
+            attempt(r)
         return pd.DataFrame(rows, columns=["key", "rank", "path", "tokens", "used"])
 
-    joined = found.join(costs, "path").join(budgets, "key").select("key", "rank", "path", F.col("tokens").cast("long"), F.col("budget").cast("long"))
+    joined = found.join(costs, "path").join(budgets, "key").select("key", "rank", "path", F.col("tokens").cast("long"), F.col("budget").cast("long"), "covers")
     return joined.groupBy("key").applyInPandas(run, f"key {kind}, rank int, path string, tokens long, used long")
 
