@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.identity import instant
@@ -12,30 +12,49 @@ from marlstone.session import load
 MESSAGE = (["report_id", "evidence_id"], "timestamp", "outcome_id", "received_at")
 
 
-def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Records that the fields refer to.
+KIND = {"report_id": "report", "evidence_id": "evidence"}
+#: Periods of arrival that the orphan queries take one after another.
+BATCHES = 3
+
+
+def _state(spark: SparkSession, sf_dir: str, batches: int = BATCHES) -> orphans.OrphanState:
+    """The orphan state after all rows have come in batches by the time they arrived: loads and deletions are facts of their own time."""
     outcomes, rows = load(spark, sf_dir, "outcomes"), load(spark, sf_dir, "report_rows")
     made = F.coalesce(instant(F.col("timestamp")), F.col("received_at").cast("timestamp"))
-    refs = (
-        orphans.reference_rows(outcomes, "outcomes", "report_id", "outcome_id", made)
-        .unionByName(orphans.reference_rows(outcomes, "outcomes", "evidence_id", "outcome_id", made))
-        .unionByName(orphans.reference_rows(rows, "report_rows", "report_id", "row_id", F.col("created_at")))
-        .unionByName(orphans.reference_rows(rows, "report_rows", "evidence_id", "row_id", F.col("created_at")))
-    )
-    parents = orphans.parent_rows(load(spark, sf_dir, "review_reports"), "report_id", "report").unionByName(
-        orphans.parent_rows(load(spark, sf_dir, "evidence"), "evidence_id", "evidence")
+    facts = orphans.parent_facts(load(spark, sf_dir, "review_reports"), "report_id", "report").unionByName(
+        orphans.parent_facts(load(spark, sf_dir, "evidence"), "evidence_id", "evidence")
     )
-    state = orphans.advance(None, refs, parents)
-    return orphans.probe(state, {"report_id": "report", "evidence_id": "evidence"})
+    first, last, n = outcomes.select(F.unix_micros(F.col("received_at").cast("timestamp")).alias("t")).agg(F.min("t"), F.max("t"), F.count(F.lit(1))).first()
+    n = 2 * n + rows.count()
+    cuts = [first + (last - first) * i // batches for i in range(1, batches)] if first is not None else []
+    state = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+
+        def arrived(when: Column, low=low, high=high) -> Column:
+            """Within the period; the first one has all that came before or at no known time."""
+            within = (F.coalesce(when, F.lit(-orphans.FOREVER)) < high) if high is not None else F.lit(True)
+            return within if low is None else within & (when >= low)
+
+        came = outcomes.filter(arrived(F.unix_micros(F.col("received_at").cast("timestamp"))))
+        noted = rows.filter(arrived(F.unix_micros(F.col("created_at").cast("timestamp"))))
+        refs = (
+            orphans.reference_rows(came, "outcomes", "report_id", "outcome_id", made)
+            .unionByName(orphans.reference_rows(came, "outcomes", "evidence_id", "outcome_id", made))
+            .unionByName(orphans.reference_rows(noted, "report_rows", "evidence_id", "row_id", F.col("created_at")))
+        )
+        state = orphans.advance(state, refs, facts.filter(arrived(F.col("known"))), KIND, rows=n)
+    return state
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reference whose record doesn't exist at the time it is made."""
-    return orphans.orphans_at_birth(_probed(spark, sf_dir)).select("ref_table", "ref_field", "ref_id")
+    """Every reference whose record doesn't exist at the time it is made: what is pending after the last batch."""
+    return orphans.orphans_at_birth(_state(spark, sf_dir)).select("ref_table", "ref_field", "ref_id")
 
 
 def p1_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per table, field and month: orphans opened, reopened, resolved, and waiting at its end."""
-    return orphans.snapshot_counts(orphans.spells(_probed(spark, sf_dir)), "month")
+    return orphans.snapshot_counts(orphans.spells(orphans.probe(_state(spark, sf_dir))), "month")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +79,10 @@ _OUT = """o AS (SELECT outcome_id, received_at, {r} AS r, {e} AS e, CAST(CAST("t
     r=_KEY.format(c="report_id"), e=_KEY.format(c="evidence_id")
 )
 _REFS = f"""{_OUT},
-rr AS (SELECT row_id, created_at, {_KEY.format(c="report_id")} AS r, {_KEY.format(c="evidence_id")} AS e FROM report_rows),
+rr AS (SELECT row_id, created_at, {_KEY.format(c="evidence_id")} AS e FROM report_rows),
 refs AS (
   SELECT 'outcomes' AS ref_table, 'report_id' AS ref_field, outcome_id AS ref_id, r AS k, coalesce(ts, received_at) AS t FROM o
   UNION ALL SELECT 'outcomes', 'evidence_id', outcome_id, e, coalesce(ts, received_at) FROM o
-  UNION ALL SELECT 'report_rows', 'report_id', row_id, r, created_at FROM rr
   UNION ALL SELECT 'report_rows', 'evidence_id', row_id, e, created_at FROM rr),
 par AS (
   SELECT 'report_id' AS ref_field, {_KEY.format(c="report_id")} AS k, loaded_at, deleted_at FROM review_reports

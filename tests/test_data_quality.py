@@ -37,7 +37,7 @@ def _refs(spark, rows):
 
 
 def _parents(spark, rows):
-    return orphans.parent_rows(spark.createDataFrame(rows, "evidence_id string, loaded_at timestamp, deleted_at timestamp, kind int"), "evidence_id", "evidence")
+    return orphans.parent_facts(spark.createDataFrame(rows, "evidence_id string, loaded_at timestamp, deleted_at timestamp, kind int"), "evidence_id", "evidence")
 
 
 KIND = {"evidence_id": "evidence"}
@@ -46,8 +46,8 @@ KIND = {"evidence_id": "evidence"}
 def test_orphans_point_in_time(spark):
     refs = [(1, H["a"], day(5), "", 0), (2, H["a"], day(1), "", 0), (3, H["a"], day(10), "", 0), (4, H["b"], day(5), "", 0), (5, None, day(5), "", 0), (6, " ", day(5), "", 0), (7, H["a"].upper(), day(20), "", 0)]
     parents = [(f"sha256:{H['a']}", day(2), day(10), 0), (H["a"], day(15), None, 0), (H["a"], day(15), None, 0)]
-    state = orphans.advance(None, _refs(spark, refs), _parents(spark, parents))
-    got = {r.ref_id for r in orphans.orphans_at_birth(orphans.probe(state, KIND)).collect()}
+    state = orphans.advance(None, _refs(spark, refs), _parents(spark, parents), KIND)
+    got = {r.ref_id for r in orphans.orphans_at_birth(state).collect()}
     assert got == {2, 3, 4}
 
 
@@ -63,17 +63,51 @@ def test_batches_give_the_same_as_one(spark):
             parents.append((k, day(t), day(end), 0))
             t = end + rng.randint(0, 5)
     brute = {i for i, k, t, _, _ in refs if not any(p == k and a <= t < b for p, a, b, _ in parents)}
-    whole = orphans.advance(None, _refs(spark, refs), _parents(spark, parents))
-    step = orphans.advance(None, _refs(spark, refs[:50]), _parents(spark, [(k, a, None, 0) for k, a, _, _ in parents[:4]]))
-    step = orphans.advance(step, _refs(spark, refs[50:]), _parents(spark, parents))
-    for state in (whole, step):
-        for salts in (32, 1):
-            assert {r.ref_id for r in orphans.orphans_at_birth(orphans.probe(state, KIND, salts)).collect()} == brute
+    loads = [(k, a, None, 0) for k, a, _, _ in parents]
+    end = orphans.FOREVER
+    for salts in (32,):
+        whole = orphans.advance(None, _refs(spark, refs), _parents(spark, parents), KIND, salts)
+        # loads without their ends first, then the ends alone, with references between them
+        step = orphans.advance(None, _refs(spark, refs[:50]), _parents(spark, loads), KIND, salts)
+        step = orphans.advance(step, _refs(spark, refs[50:90]), _parents(spark, parents[:7]).filter(F.col("to") < end), KIND, salts)
+        step = orphans.advance(step, _refs(spark, refs[90:]), _parents(spark, parents[7:]).filter(F.col("to") < end), KIND, salts)
+        for state in (whole, step):
+            assert sorted(r.ref_id for r in orphans.orphans_at_birth(state).collect()) == sorted(brute)
+            assert sorted(r.ref_id for r in orphans.references_of(state).collect()) == list(range(120))
+
+
+def test_overlapping_records_in_batches_of_any_order(spark):
+    """Overlapping, touching and repeated records of one id, each load and each deletion a batch of its own."""
+    rng = random.Random(8)
+    parents = [(H["a"], day(1), day(5), 0), (H["a"], day(2), None, 0), (H["a"], day(5), day(9), 0), (H["a"], day(2), day(7), 0), (H["b"], day(3), day(3), 0), (H["b"], day(9), day(4), 0)]
+    refs = [(t * 10 + n, k, day(t), "", 0) for t in range(12) for n, k in enumerate([H["a"], H["a"].upper(), H["b"]])]
+    brute = {i for i, k, t, _, _ in refs if not any(p == k.lower() and a <= t and (b is None or t < b) for p, a, b, _ in parents)}
+    facts = [(i, w) for i in range(len(parents)) for w in ("load", "end")]
+    for _ in range(1):
+        rng.shuffle(facts)
+        shuffled = rng.sample(refs, len(refs))
+        state = None
+        for n in range(3):
+            new = [parents[i] for i, w in facts[n::3] if w == "load"], [parents[i] for i, w in facts[n::3] if w == "end"]
+            batch = _parents(spark, [(k, a, None, 0) for k, a, _, _ in new[0]]).unionByName(_parents(spark, new[1]).filter(F.col("to") < orphans.FOREVER))
+            state = orphans.advance(state, _refs(spark, shuffled[n::3]), batch, KIND)
+        assert {r.ref_id for r in orphans.orphans_at_birth(state).collect()} == brute
+
+
+def test_repeated_references_without_id_are_reopened_each(spark):
+    refs = [(None, H["a"], day(5), "", 0), (None, H["a"], day(5), "", 0), (1, H["a"], day(5), "", 0)]
+    state = orphans.advance(None, _refs(spark, refs), _parents(spark, [(H["a"], day(1), None, 0)]), KIND)
+    assert orphans.orphans_at_birth(state).count() == 0
+    for end in (day(3), day(4)):  # the second deletion finds them pending already
+        state = orphans.advance(state, _refs(spark, []), _parents(spark, [(H["a"], day(1), end, 0)]).filter(F.col("to") < orphans.FOREVER), KIND)
+        assert orphans.orphans_at_birth(state).count() == 3
+    state = orphans.advance(state, _refs(spark, []), _parents(spark, [(H["a"], day(4), None, 0)]), KIND)
+    assert orphans.orphans_at_birth(state).count() == 0 and orphans.references_of(state).count() == 3
 
 
 def test_spells_and_snapshots(spark):
-    state = orphans.advance(None, _refs(spark, [(1, H["a"], day(0), "", 0)]), _parents(spark, [(H["a"], day(40), day(80), 0)]))
-    pending = orphans.spells(orphans.probe(state, KIND))
+    state = orphans.advance(None, _refs(spark, [(1, H["a"], day(0), "", 0)]), _parents(spark, [(H["a"], day(40), day(80), 0)]), KIND)
+    pending = orphans.spells(orphans.probe(state))
     got = sorted((r["from"], r.to, r.reopened) for r in pending.collect())
     assert len(got) == 2 and [g[2] for g in got] == [False, True]
     counts = {r.period.month: (r.opened, r.reopened, r.resolved, r.waiting) for r in orphans.snapshot_counts(pending).collect()}
@@ -120,7 +154,7 @@ def test_admit_drops_stored_messages(spark):
 
 
 def test_orphans_of_empty_tables(spark):
-    state = orphans.advance(None, _refs(spark, []), _parents(spark, []))
-    assert orphans.orphans_at_birth(orphans.probe(state, KIND)).count() == 0
-    state = orphans.advance(None, _refs(spark, [(1, H["a"], None, "", 0)]), _parents(spark, [(H["a"], None, None, 0)]))
-    assert orphans.orphans_at_birth(orphans.probe(state, KIND)).count() == 1
+    state = orphans.advance(None, _refs(spark, []), _parents(spark, []), KIND)
+    assert orphans.orphans_at_birth(state).count() == 0
+    state = orphans.advance(None, _refs(spark, [(1, H["a"], None, "", 0)]), _parents(spark, [(H["a"], None, None, 0)]), KIND)
+    assert orphans.orphans_at_birth(state).count() == 1
