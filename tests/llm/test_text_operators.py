@@ -275,7 +275,7 @@ def test_documented_frame(spark):
 
 # --- provenance
 def test_evidence_and_mentions():
-    d = lambda p, c, l=None: provenance.describe(p, l, c)[0]
+    d = lambda p, c, l=None: provenance.describe([(p, l, c, None)])[0][1]
     code = "package a\n\nfunc f() int {\n\treturn 1\n}\n"
     assert d("a.go", code) is None and d("a.go", "") is None and d(None, None) is None
     assert d("a.go", "// Code generated by x. DO NOT EDIT.\n" + code) == "generated notice"
@@ -285,10 +285,6 @@ def test_evidence_and_mentions():
     assert d("vendor/x/a.go", code) == "vendored place" and d("internal/vendors/a.go", code) is None
     assert d("a_pb2.py", "x = 1\n") == "generated place" and d("internal/generate/a.go", code) is None
     assert d("a.js", "function f(){}\n// Copied from abc v1.2.3, keep in step with upstream.\n") == "vendored notice"
-    assert d("a.js", "".join(f"function a{i}(x,y){{return x.b>{i}?y:x+1}}" for i in range(30))) == "minified"
-    table = "var t = []int{\n" + "".join("\t" + ", ".join(str(1000 + i * j) for j in range(14)) + ",\n" for i in range(30)) + "}\n"
-    assert d("a.go", "package a\n\n" + table) == "data"
-    assert d("a.go", code * 1 + "".join(code[11:].replace("f()", f"f{i}()") for i in range(40)) + "\nvar t = []int{\n\t1, 2, 3,\n}\n") is None
 
 
 def test_classify_with_hints(spark):
@@ -302,13 +298,35 @@ def test_classify_with_hints(spark):
     assert provenance.classify(files.limit(0), plan).count() == 0
 
 
-def test_forest_finds_what_labels_teach(spark):
+def _written(rng, name):
+    """A file as a person would write it."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9)))
+    parts = []
+    for _ in range(rng.randint(3, 12)):
+        f, x, y = word(), word(), word()
+        parts.append(f"// {word()} {word()} {word()} by {word()}\nexport function {f}({x}, {y}) {{\n\tconst {word()} = {x}.{word()} + {rng.randint(1, 900)};\n\tif ({x} > {y}) {{\n\t\treturn {word()}('{word()} {word()}', {x});\n\t}}\n\treturn {y};\n}}\n")
+    table = "const t = [\n\t1, 2, 3, 4,\n];\n" if rng.random() < 0.2 else ""
+    return f"// {name}\n" + "\n".join(parts) + table
+
+
+def test_forest_decides_minified_and_data_bodies(spark):
+    """No minified or data file carries a notice; the forest learns them from made copies."""
     rng = random.Random(8)
-    rows = []
-    for i in range(300):
-        odd = i % 4 == 0
-        base = rng.random() * 0.1
-        rows.append((i, "generated notice" if odd and i % 8 == 0 else None, not odd, *[(0.9 if odd else 0.3) + base for _ in provenance.FEATURES]))
-    table = spark.createDataFrame(rows, "file_id long, evidence string, ordinary boolean, " + ", ".join(f"{f} double" for f in provenance.FEATURES))
-    scores = {r.file_id: r.score for r in provenance.scored(table).collect()}
-    assert min(scores[i] for i in range(300) if i % 4 == 0) > max(scores[i] for i in range(300) if i % 4)
+    rows = [(i, f"src/a{i}.js", "javascript", ("// Code generated by x. DO NOT EDIT.\n" if i % 9 == 0 else "") + _written(rng, i)) for i in range(400)]
+    dense = lambda n: "".join(f"function a{i}(x,y){{return x.b>{i}?y:x+1}}" for i in range(n))
+    numbers = "export const t = [\n" + "".join("\t" + ", ".join(str(rng.randint(0, 99999)) for _ in range(11)) + ",\n" for _ in range(40)) + "];\n"
+    base64 = "var s = (\n" + "".join('    "' + "".join(rng.choices("ABCDEFabcdefghiklmnopqrstuvwxyz0123456789+/", k=70)) + '"\n' for _ in range(40)) + ")\n"
+    records = "export const t = [\n" + "".join(f'  {{ key: "{rng.randint(0, 9**9):x}", v: {rng.random():.5f}, n: {rng.randint(0, 9999)} }},\n' for _ in range(60)) + "];\n"
+    odd = {1000: dense(40), 1001: dense(90), 1002: numbers, 1003: base64, 1004: records}
+    rows += [(i, f"src/b{i}.js", "javascript", c) for i, c in odd.items()] + [(2000, "a.json", "json", "[" + "1234, " * 300 + "1]")]
+    got = {r.file_id: r for r in provenance.classify(spark.createDataFrame(rows, "file_id long, path string, language string, content string")).collect()}
+    assert {i for i, r in got.items() if r.found and r.evidence is None} == set(odd)
+    assert len(got) == len(rows) and not got[2000].found
+
+
+def test_body_features_by_hand():
+    x = provenance.body_features(["ab ab 12;\n", "", "x" * 100 + "y", "x" * 101])
+    assert x[0, 9] == 3 / 4 and abs(x[0, 1] - 1.5) < 1e-9 and x[0, 2] == 2.0 and x[0, 3] == 1.0
+    assert x[1, 1] == 0 and x[2, 2] == 101 and x[0, 6] == 2 / 11
+    both = provenance.body_features([" ".join(["x" * 100 + "y", "x" * 101])])
+    assert both[0, 9] == 1.0
