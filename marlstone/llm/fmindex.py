@@ -1,7 +1,6 @@
 """FM-index over word sequences, in numpy.
 
-The indexed sequence holds word ids >= 1 of a phrase vocabulary and 0 where a
-text has other words or ends. Every 0 is smaller than every word and different
+The indexed sequence holds word ids >= 1 and 0 where a text ends. Every 0 is smaller than every word and different
 from every other 0, so no match runs over one and suffixes differ at the next
 0 at the latest. Ranks come from a wavelet matrix with popcounts; positions from a
 suffix array sampled at every ``sample``-th place of the sequence.
@@ -13,20 +12,30 @@ import numpy as np
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Suffix array of seq by prefix doubling; only unfinished groups are sorted again."""
+    """Suffix array of seq by prefix doubling; only unfinished groups are sorted again.
+
+    The first sort packs as many symbols into a key as 63 bits hold. Behind a 0 nothing counts: suffixes that
+    are equal up to one are ordered by their place, as the 0s are.
+    """
     n = len(seq)
-    zeros = np.flatnonzero(seq == 0)
-    key = seq.astype(np.int64) + len(zeros)
-    key[zeros] = np.arange(len(zeros))
+    width = max(1, int(seq.max(initial=0)).bit_length())
+    step = max(1, 63 // width)
+    key = np.zeros(n, np.int64)
+    ended = np.zeros(n, bool)
+    for k in range(step):
+        symbol = np.zeros(n, np.int64)
+        symbol[: max(n - k, 0)] = seq[k:]
+        symbol[ended] = 0
+        ended |= symbol == 0
+        key = (key << width) | symbol
     order = np.argsort(key, kind="stable")
     head = np.empty(n, bool)
     head[:1] = True
-    head[1:] = key[order[1:]] != key[order[:-1]]
+    head[1:] = (key[order[1:]] != key[order[:-1]]) | ended[order[1:]]
     starts = np.flatnonzero(head)
     rank = np.empty(n, np.int64)  # a suffix's rank is the place of its group's first
-    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-    step = 1
     size = np.diff(np.append(starts, n))
+    rank[order] = np.repeat(starts, size)
     todo = np.flatnonzero(np.repeat(size, size) > 1)
     while len(todo):
         at = order[todo]
@@ -50,10 +59,12 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
 class BitRank:
     """A bit vector with constant-time counts of ones before a place."""
 
-    def __init__(self, bits: np.ndarray):
-        packed = np.packbits(bits, bitorder="little")
-        self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
-        self.words.view(np.uint8)[: len(packed)] = packed
+    def __init__(self, bits: np.ndarray | None = None, words: np.ndarray | None = None):
+        if words is None:
+            packed = np.packbits(bits, bitorder="little")
+            words = np.zeros(len(bits) // 64 + 1, np.uint64)
+            words.view(np.uint8)[: len(packed)] = packed
+        self.words = words
         self.before = np.zeros(len(self.words) + 1, np.int64)
         np.cumsum(np.bitwise_count(self.words), out=self.before[1:])
 
@@ -114,6 +125,20 @@ class FMIndex:
         self.marked = BitRank(sampled.astype(np.uint8))
         self.positions = order[sampled]
 
+    def state(self) -> tuple:
+        """What a stored index needs; counts are built again by ``restored``."""
+        return self.n, self.first, [(shift, bits.words, zeros) for shift, bits, zeros in self.matrix.levels], self.marked.words, self.positions.astype(np.int32 if self.n < 2**31 else np.int64)
+
+    @classmethod
+    def restored(cls, state: tuple) -> FMIndex:
+        """Index of a stored state."""
+        index = cls.__new__(cls)
+        index.matrix = WaveletMatrix.__new__(WaveletMatrix)
+        index.n, index.first, levels, marked, index.positions = state
+        index.matrix.levels = [(shift, BitRank(words=words), zeros) for shift, words, zeros in levels]
+        index.marked = BitRank(words=marked)
+        return index
+
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Half-open suffix ranges of patterns (one per row), by backward search of all at once."""
         low = np.zeros(len(patterns), np.int64)

@@ -128,10 +128,33 @@ def test_leaks_against_brute_force(spark, block, shard):
     assert {(r.doc_id, r.case_id) for r in rows} == brute
     texts = dict(docs)
     for r in rows:
-        assert len(leakage.words_of(texts[r.doc_id].lower()[r.start : r.end])) >= 12
+        assert len(leakage.words_of(texts[r.doc_id][r.start : r.end])) >= 12
     assert leakage.removal_spans(found).groupBy("doc_id").count().count() == len({b[0] for b in brute})
 
 
+def test_stored_index_takes_other_passages_and_keeps_the_texts_offsets(spark):
+    base = "Alpha beta, gamma-delta epsilon zeta eta theta iota kappa lambda mu"
+    texts = {1: "\u0130stanbul'da \u0130\u0130 x " + base + " end", 2: base.upper() + " nu xi", 3: "\u039f\u0394\u039f\u03a3'\u0391 one two three four five six seven eight nine ten"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    index = leakage.build_index(docs, "doc_id", "text", 8)
+    cases = lambda *p: spark.createDataFrame([(str(i), x) for i, x in enumerate(p)], "case_id string, passage string")
+    got = leakage.search_index(index, "bigint", cases(base), "case_id", "passage").collect()
+    assert {(r.doc_id, texts[r.doc_id][r.start : r.end].lower()) for r in got} == {(1, base.lower()), (2, base.lower())}
+    # the same index, another set of passages, without the texts
+    got = leakage.search_index(index, "bigint", cases("x", base + " NU", "\u03bf\u03b4\u03bf\u03c2 \u03b1 ONE two three four five six seven eight nine ten"), "case_id", "passage").collect()
+    assert {(r.doc_id, r.case_id) for r in got} == {(1, "1"), (2, "1"), (3, "2")}
+    assert leakage.search_index(index, "bigint", cases(), "case_id", "passage").count() == 0
+
+
+def test_words_and_spans_agree():
+    rng = random.Random(2)
+    alphabet = ["a", "B", "\u0130", "\u03a3", "\u00df", "_", " ", "'", "7", "\u0301", "\u4e2d", "\U0001d7d8", "\u00b2", "\ud800"]
+    for _ in range(300):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 30)))
+        begins, ends = leakage.spans_of(text)
+        assert [text[a:b].lower() for a, b in zip(begins, ends)] == leakage.words_of(text)
+
+
 # --- language
 SENTENCES = {
     "en": "the quick review of this change should keep every line of the report and nothing else is needed here",
