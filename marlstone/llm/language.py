@@ -12,11 +12,13 @@ gets the language with the lowest cross-entropy per character.
 
 A heading counts as no prose and takes one of the document's languages.
 
-Rejection is calibrated on held-out paragraphs: one whose cross-entropy is
-above the limit for its length, or whose posterior is below
-``LEAST_POSTERIOR``, has no language of its own and takes the document's.
-The posterior is the models' likelihood, tempered to fit the held-out
-paragraphs; it is the confidence.
+The confidence is the posterior: the models' likelihood, tempered to fit
+held-out paragraphs and pieces of them of a few words, right and wrong answers
+alike. Labels are wrong at times, so the fit has a share of random labels
+beside the temper. Rejection is calibrated on the same pieces: a paragraph
+whose posterior is so low that fewer than ``LEAST_ACCURACY`` of the pieces
+like it are right, or whose cross-entropy lies above all of them for its
+length, has no language of its own and takes the document's.
 
 Defined cases: documents without any prose (NULL, empty, code only) get a NULL
 language with confidence 0 and are no cases; a label of an unknown form names
@@ -33,7 +35,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from marlstone.session import ship_package
 
@@ -51,10 +53,13 @@ ALIASES = {
 MISSING = {"", "und", "unknown"}
 #: Labelled documents per language to train on, at most.
 PER_LANGUAGE = 400
-#: Characters of one sampled document that are used for training, at most.
-SAMPLE_CHARS = 4000
+#: Documents that are longer are not drawn for training, so that the sample has a size bound; drawn ones are used whole.
+SAMPLE_CHARS = 100_000
 ORDER = 5
-LEAST_POSTERIOR = 0.6
+#: Share of right answers among held-out pieces of a posterior from which on an answer is accepted.
+LEAST_ACCURACY = 0.6
+#: Words of the held-out pieces.
+PIECES = (1, 2, 3, 5, 8)
 #: Letters of a paragraph that carry a language of their own.
 LEAST_LETTERS = 8
 #: Characters scored at once.
@@ -160,6 +165,7 @@ class Model:
     weights: list[np.ndarray] = field(default_factory=list)  # log back-off weights of the contexts
     floor: np.ndarray = field(default_factory=lambda: np.full(len(LANGUAGES), -np.log(SYMBOLS), np.float32))  # of a symbol nobody has seen
     temper: float = 1.0
+    least: float = 0.6
     typical: np.ndarray = field(default_factory=lambda: np.full(len(LANGUAGES), 2.0))
     spread: float = 10.0
 
@@ -228,7 +234,7 @@ class Model:
             logit = -(h - h.min(axis=1, keepdims=True)) * n[:, None] * self.temper
             post = 1 / np.exp(logit).sum(axis=1)
             fits = (h[np.arange(len(b)), b] - self.typical[b]) * np.sqrt(n) <= self.spread
-            best[some], confidence[some], accepted[some] = b, post, fits & (post >= LEAST_POSTERIOR)
+            best[some], confidence[some], accepted[some] = b, post, fits & (post >= self.least)
         return best, confidence, accepted
 
 
@@ -288,46 +294,67 @@ def fit(samples: list[list[str]]) -> Model:
 
 
 def calibrate(model: Model, held: list[tuple[str, int]]) -> Model:
-    """Set the temper and the rejection limits by held-out (text, language index) pairs."""
-    held = [(t, l) for t, l in held if len(t) >= LEAST_LETTERS]
-    if len(held) < 20:
+    """Set the temper and the rejection limits by held-out (text, language index) pairs, whatever the model says of them."""
+    pieces = list(held)
+    for t, l in held:
+        words = t.split(" ")
+        pieces += [(" ".join(words[i : i + k]), l) for k in PIECES for i in range(0, min(len(words), 3 * k), k)]
+    pieces = sorted({(t, l) for t, l in pieces if len(t) >= LEAST_LETTERS})
+    if len(pieces) < 20:
         return model
-    h, n = model.entropies([t for t, _ in held])
-    truth = np.array([l for _, l in held])
+    h, n = model.entropies([t for t, _ in pieces])
+    truth = np.array([l for _, l in pieces])
     row = np.arange(len(truth))
     best = None
-    for temper in 2.0 ** np.arange(-8, 1):
+    for temper in 2.0 ** np.arange(-8, 3.1, 0.5):
         logit = -(h - h.min(axis=1, keepdims=True)) * n[:, None] * temper
-        loss = -(logit[row, truth] - np.log(np.exp(logit).sum(axis=1))).mean()
-        if best is None or loss < best[0]:
-            best = (loss, temper)
-    model.temper = float(best[1])
-    own = h[row, truth]
-    right = h.argmin(axis=1) == truth
+        post = np.exp(logit)
+        mine = post[row, truth] / post.sum(axis=1)
+        for noise in (0.0, 0.005, 0.01, 0.02, 0.04, 0.08, 0.16):
+            loss = -np.log(np.maximum((1 - noise) * mine + noise / len(LANGUAGES), 1e-300)).mean()
+            if best is None or loss < best[0]:
+                best = (loss, temper, noise)
+    model.temper, noise = float(best[1]), best[2]
+    first = h.argmin(axis=1)
+    top = 1 / np.exp(-(h - h.min(axis=1, keepdims=True)) * n[:, None] * model.temper).sum(axis=1)
+    right = (first == truth) / (1 - noise)
+    # the lowest posterior whose neighbourhood, a twentieth wide or 20 pieces, is right often enough
+    order = np.argsort(-top, kind="stable")
+    model.least = 1 / len(LANGUAGES)
+    for low in np.arange(0.95, 1 / len(LANGUAGES), -0.05):
+        near = (top >= low) & (top < low + 0.05)
+        if near.sum() < 20:
+            near = order[max(0, int((top >= low).sum()) - 20) : int((top >= low).sum())]
+        if len(right[near]) and right[near].mean() < LEAST_ACCURACY:
+            model.least = float(low + 0.05)
+            break
+    own = h[row, first]
     for l in range(len(LANGUAGES)):
-        if (mine := own[(truth == l) & right]).size:
-            model.typical[l] = np.average(mine, weights=n[(truth == l) & right])
-    model.spread = float(np.quantile((own - model.typical[truth])[right] * np.sqrt(n[right]), 0.999)) * 1.5 + 1.0
+        if (first == l).any():
+            model.typical[l] = np.average(own[first == l], weights=n[first == l])
+    model.spread = float(((own - model.typical[first]) * np.sqrt(n)).max())
     return model
 
 
 def train(documents: DataFrame, doc_id: str, text: str, label: str, per_language: int = PER_LANGUAGE) -> Model:
     """Model trained on at most per_language labelled documents of each language.
 
-    The sample is collected: at most ``7 * per_language`` texts of ``SAMPLE_CHARS`` characters each.
+    The sample is collected: at most ``2 * per_language`` texts of each of the languages, of ``SAMPLE_CHARS`` characters at most.
     """
     forms = {c: c for c in LANGUAGES} | ALIASES
     first = F.split(F.lower(F.btrim(F.col(label))), "[-_]")[0]
     code: Column = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])[first]
-    labelled = documents.select(F.xxhash64(F.lit(29), F.col(doc_id)).alias("h"), F.col(text).alias("text"), code.alias("code")).filter(F.col("code").isNotNull() & F.col("text").isNotNull())
+    labelled = documents.select(F.xxhash64(F.lit(29), F.col(doc_id)).alias("h"), F.col(text).alias("text"), code.alias("code")).filter(F.col("code").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     sizes = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model()
     # a threshold of the hash per language: no sort, no shuffle of texts
     span = 2**63
     limit = F.create_map(*[F.lit(x) for c, n in sorted(sizes.items()) for x in (c, min(int(min(1.0, per_language / n) * span) * 2 - span, span - 1))])
-    drawn = labelled.filter(F.col("h") <= limit[F.col("code")]).select("h", "code", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = sorted(drawn.limit(2 * per_language * len(LANGUAGES)).collect(), key=lambda r: (r["code"], r["h"], r["text"]))
+    drawn = labelled.filter(F.col("h") <= limit[F.col("code")])
+    # rows of one id share a hash, so more may be drawn than were meant; which stay doesn't depend on the order of rows
+    place = F.row_number().over(Window.partitionBy("code").orderBy("h", F.xxhash64("text")))
+    rows = sorted(drawn.withColumn("n", place).filter(F.col("n") <= 2 * per_language).select("h", "code", "text").collect(), key=lambda r: (r["code"], r["h"], r["text"]))
     texts: list[tuple[str, int, bool]] = []
     for r in rows:
         held = r["h"] % 5 == 0
@@ -339,8 +366,7 @@ def train(documents: DataFrame, doc_id: str, text: str, label: str, per_language
             best, _, _ = model.decide([t for t, _, _ in texts])
             sound = [(t, l, held) for (t, l, held), b in zip(texts, best) if b == l]
             model = fit([[t for t, l, held in sound if l == k and not held] for k in range(len(LANGUAGES))])
-        best, _, _ = model.decide([t for t, _, _ in texts])
-        model = calibrate(model, [(t, l) for (t, l, held), b in zip(texts, best) if held and b == l])
+        model = calibrate(model, [(t, l) for t, l, held in texts if held])
     return model
 
 

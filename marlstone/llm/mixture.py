@@ -27,6 +27,7 @@ import base64
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,22 +38,34 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BITS, LEVELS = 12, 5
 #: Split pattern of the byte-level vocabulary (fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are cut at white space into pieces of about this many characters, for the tokenizer's memory.
+#: Longer texts go to the tokenizer in pieces of about this many characters, cut only where no match of the split pattern can lie across.
 PIECE = 1 << 20
+#: Before white space, and behind a run of letters or digits, a match always ends.
+_ENDS = r"(?<=\S)(?=[ \t\r\n])|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])"
+_LAST_END, _NEXT_END = regex.compile("(?r)" + _ENDS), regex.compile(_ENDS)
+#: Sources up to which their plan is broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 _ENCODERS: dict = {}
 
 
 def _pieces(text: str) -> Iterator[str]:
+    """Pieces whose tokens are those of the whole text; a stretch without a safe cut stays whole."""
     at = 0
     while len(text) - at > PIECE:
-        end = text.rfind(" ", at + PIECE // 2, at + PIECE)
-        end = end if end > 0 else at + PIECE
-        yield text[at:end]
-        at = end
+        m = _LAST_END.search(text, at + 1, at + PIECE) or _NEXT_END.search(text, at + PIECE - 1)
+        if m is None or m.start() <= at:
+            break
+        yield text[at : m.start()]
+        at = m.start()
     yield text[at:]
 
 
+def _hinted(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint where its number of rows has been seen to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
+
+
 def token_counter(spark: SparkSession, path: str = TOKENIZER):
     """A pandas UDF that counts a text's tokens; the vocabulary (under 1 MB) is read once here and broadcast."""
     with open(path, "rb") as f:
@@ -108,12 +121,14 @@ def thresholds(docs: DataFrame, plan: DataFrame, levels: int = LEVELS, bits: int
     """
     state = materialize(plan.filter(F.col("target_share").isNotNull()).select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below")))
     width = bits * levels
+    small = state.count() <= BROADCAST_SOURCES
+    hint = F.broadcast if small else lambda d: d
     for level in range(levels):
         shift = width - bits * (level + 1)
-        inside = docs.join(F.broadcast(state.select("source", "prefix")), "source").filter(F.shiftright("h", shift + bits) == F.col("prefix"))
+        inside = docs.join(hint(state.select("source", "prefix")), "source").filter(F.shiftright("h", shift + bits) == F.col("prefix"))
         sums = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
         run = sums.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")))
-        fits = run.join(F.broadcast(state.select("source", "rest")), "source").groupBy("source")
+        fits = run.join(hint(state.select("source", "rest")), "source").groupBy("source")
         ends = fits.agg(
             F.min(F.when(F.col("upto") > F.col("rest"), F.col("bucket"))).alias("edge"),
             F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("used"),
@@ -138,7 +153,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None) -> tuple[
     plan = thresholds(docs, budgets(docs, targets, total))
     use = plan.filter(F.col("target_share").isNotNull()).select("source", "whole", "below")
     copies = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    return docs.join(use, "source").withColumn("copies", copies).filter(F.col("copies") > 0).select("doc_id", "source", "tokens", "copies"), plan
+    return docs.join(_hinted(use), "source").withColumn("copies", copies).filter(F.col("copies") > 0).select("doc_id", "source", "tokens", "copies"), plan
 
 
 def shares(selection: DataFrame, plan: DataFrame) -> DataFrame:

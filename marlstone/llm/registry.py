@@ -114,6 +114,11 @@ ORACLES = {
 l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r(x, y) AS (SELECT a, a FROM l UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y)
 SELECT x AS file_name, min(y) AS group_name FROM r GROUP BY x""",
+    "p7_found": r"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM documents),
+c AS (SELECT case_id, list_transform(regexp_extract_all(passage, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM eval_cases),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+cg AS (SELECT DISTINCT case_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM c WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, case_id FROM dg JOIN cg USING (g)""",
 }
 
 

@@ -81,10 +81,70 @@ def test_mix_empty(spark):
     assert chosen.count() == 0 and mixture.shares(chosen, plan).count() == 1
 
 
+def _whole_count(text):
+    import base64
+
+    import tiktoken
+
+    with open(mixture.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    return len(tiktoken.Encoding("whole", pat_str=mixture.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text))
+
+
+def test_pieces_give_the_tokens_of_the_whole_text(monkeypatch):
+    import base64
+
+    import tiktoken
+
+    with open(mixture.TOKENIZER, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    encode = tiktoken.Encoding("pieces", pat_str=mixture.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    monkeypatch.setattr(mixture, "PIECE", 40)
+    rng = random.Random(6)
+    parts = ["a", "it's", "\n", "\n\n", "  ", " ", "\t", "12", "x9y", "'s", "('ve", "!?", "\u4e2d\u6587", "\u00e9", "\u00a0", "\x1c", "longerword", "\r\n", "=" * 50, "z" * 90]
+    cut = 0
+    for _ in range(400):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 120)))
+        pieces = list(mixture._pieces(text))
+        cut += len(pieces) > 1
+        assert "".join(pieces) == text
+        assert [t for p in pieces for t in encode(p)] == encode(text)
+    assert cut > 300 and list(mixture._pieces("q" * 500)) == ["q" * 500]
+
+
+def test_shares_against_an_independent_computation(spark):
+    """Budgets, thresholds and shares worked out by sorting each source by its hash."""
+    rng = random.Random(12)
+    names = ["big", "mid", "small", "tiny", "none", None]
+    docs = [(i, rng.choices(names, [60, 20, 10, 2, 5, 3])[0], rng.choice([0, 1, 5, 40, 400]), rng.randrange(2**60)) for i in range(3000)]
+    targets = [("big", 0.3, 1), ("mid", 0.3, 2), ("small", 0.3, 4), ("tiny", 0.05, 3), ("absent", 0.05, 2)]
+    chosen, plan = mixture.mix(spark.createDataFrame(docs, "doc_id long, source string, tokens long, h long"), spark.createDataFrame(targets, "source string, target_share double, max_repeats int"))
+    got = {r.doc_id: r.copies for r in chosen.collect()}
+    total = sum(t for _, s, t, _ in docs if s in {x[0] for x in targets})
+    want = {}
+    for source, share, repeats in targets:
+        mine = sorted((h, i, t) for i, s, t, h in docs if s == source)
+        have = sum(t for _, _, t in mine)
+        budget = min(int(share * total), have * repeats)
+        whole = budget // have if have else 0
+        rest = budget - whole * have
+        for h, i, t in mine:
+            once = rest >= 0 and t <= rest
+            rest = rest - t if once else -1
+            if whole + once:
+                want[i] = whole + once
+    assert got == want
+    shares = {r.source: r for r in mixture.shares(chosen, plan).collect()}
+    used = {s: sum(want.get(i, 0) * t for i, x, t, _ in docs if x == s) for s in [*names, "absent"]}
+    everything = sum(used.values())
+    for s, r in shares.items():
+        assert r.selected == used[s] and abs(r.actual_share - used[s] / everything) < 1e-12
+
+
 def test_token_counts_are_whole(spark):
     docs = spark.createDataFrame([(1, "hello world", "a"), (2, None, "a"), (3, "", None), (4, "word " * 300_000, "a")], "doc_id long, text string, source string")
     got = {r.doc_id: r.tokens for r in mixture.sized(docs, "doc_id", "text", "source").collect()}
-    assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] in (300_000, 300_001)
+    assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] == _whole_count('word ' * 300_000)
 
 
 # --- leakage
@@ -353,3 +413,32 @@ def test_body_features_by_hand():
     assert x[1, 1] == 0 and x[2, 2] == 101 and x[0, 6] == 2 / 11
     both = provenance.body_features([" ".join(["x" * 100 + "y", "x" * 101])])
     assert both[0, 9] == 1.0
+
+
+# --- confidence
+def test_confidence_is_reliable_on_held_out_pieces():
+    """The share of right answers follows the confidence in every bin, wrong answers included."""
+    rng = random.Random(21)
+    samples = [[_text(rng, l, rng.randint(6, 30)).lower() for _ in range(40)] for l in language.LANGUAGES]
+    held = [(_text(rng, l, rng.randint(4, 20)).lower(), k) for k, l in enumerate(language.LANGUAGES) for _ in range(30)]
+    # one label in twenty is wrong
+    model = language.calibrate(language.fit(samples), [(t, k if rng.random() > 0.05 else rng.randrange(7)) for t, k in held])
+    tests = [(" ".join(rng.sample(SENTENCES[l].split(), k=rng.choice([1, 1, 2, 3]))), k) for k, l in enumerate(language.LANGUAGES) for _ in range(200)]
+    tests = [(t, k) for t, k in tests if len(t) >= language.LEAST_LETTERS]
+    best, confidence, _ = model.decide([t for t, _ in tests])
+    right = best == np.array([k for _, k in tests])
+    for low, high in ((0.0, 0.6), (0.6, 0.9), (0.9, 0.99), (0.99, 1.01)):
+        inside = (confidence >= low) & (confidence < high)
+        if inside.sum() >= 30:
+            assert abs(right[inside].mean() - confidence[inside].mean()) < 0.2
+    assert 0 < model.temper <= 8 and 1 / 7 <= model.least <= 1
+
+
+def test_training_takes_whole_documents_and_any_order(spark):
+    rng = random.Random(5)
+    rows = [(i % 50, " ".join(_text(rng, l) for _ in range(4)), l) for l in language.LANGUAGES for i in range(80)]
+    models = []
+    for order in (rows, rng.sample(rows, len(rows))):
+        models.append(language.train(spark.createDataFrame(order, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 20))
+    a, b = models
+    assert a.temper == b.temper and all((x == y).all() for x, y in zip(a.logs, b.logs))
