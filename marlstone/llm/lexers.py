@@ -25,7 +25,7 @@ MARKER = re.compile(r"^(?:<{7}|>{7}|\|{7})(?:[ \t].*)?$|^={7}[ \t]*\r?$", re.M)
 OPEN = {"(": ")", "[": "]", "{": "}"}
 CLOSE = {")", "]", "}"}
 
-_SPACE = r"(?P<ws>[\s﻿]+)"
+_SPACE = r"(?P<ws>[\s﻿]++)?+"
 _LINE = r"(?P<lc>//[^\n]*)"
 _BLOCK = r"(?P<bc>/\*[\s\S]*?\*/)"
 _ID = r"(?P<id>[^\W\d]\w*)"
@@ -34,9 +34,9 @@ _CHAR = r"'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'"
 _NUMBER = r"0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?"
 
 TOKENS = {
-    "go": re.compile(rf"{_SPACE}|{_LINE}|{_BLOCK}|{_ID}|(?P<str>{_STRING}|`[^`]*`|{_CHAR})|(?P<num>(?:{_NUMBER})i?(?!\w))|(?P<p>&\^=|<<=|>>=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{{}},;.:~])"),
-    "java": re.compile(rf'{_SPACE}|{_LINE}|{_BLOCK}|(?P<id>(?:[^\W\d]|\$)[\w$]*)|(?P<str>"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|{_STRING}|{_CHAR})|(?P<num>(?:{_NUMBER})[lLfFdD]?(?![\w$]))|(?P<p>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|&=|\|=|\^=|%=|<<|[-+*/%&|^<>=!()\[\]{{}},;.:?@~])'),
-    "javascript": re.compile(rf"{_SPACE}|{_LINE}|{_BLOCK}|(?P<id>#?(?:[^\W\d]|\$)[\w$]*)|(?P<str>{_STRING}|{_CHAR})|(?P<num>(?:{_NUMBER})n?(?![\w$]))|(?P<p>>>>=|\*\*=|&&=|\|\|=|\?\?=|===|!==|<<=|>>=|>>>|\.\.\.|=>|\*\*|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|[-+*/%&|^<>=!()\[\]{{}},;.:?@~`])"),
+    "go": re.compile(rf"{_SPACE}(?:{_LINE}|{_BLOCK}|{_ID}|(?P<str>{_STRING}|`[^`]*`|{_CHAR})|(?P<num>(?:{_NUMBER})i?(?!\w))|(?P<p>&\^=|<<=|>>=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{{}},;.:~])|(?P<end>\Z))"),
+    "java": re.compile(rf'{_SPACE}(?:{_LINE}|{_BLOCK}|(?P<id>(?:[^\W\d]|\$)[\w$]*)|(?P<str>"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|{_STRING}|{_CHAR})|(?P<num>(?:{_NUMBER})[lLfFdD]?(?![\w$]))|(?P<p>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|&=|\|=|\^=|%=|<<|[-+*/%&|^<>=!()\[\]{{}},;.:?@~])|(?P<end>\Z))'),
+    "javascript": re.compile(rf"{_SPACE}(?:{_LINE}|{_BLOCK}|(?P<id>#?(?:[^\W\d]|\$)[\w$]*)|(?P<str>{_STRING}|{_CHAR})|(?P<num>(?:{_NUMBER})n?(?![\w$]))|(?P<p>>>>=|\*\*=|&&=|\|\|=|\?\?=|===|!==|<<=|>>=|>>>|\.\.\.|=>|\*\*|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|[-+*/%&|^<>=!()\[\]{{}},;.:?@~`])|(?P<end>\Z))"),
 }
 TOKENS["typescript"] = TOKENS["javascript"]
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
@@ -78,71 +78,77 @@ def tokenize(text: str, language: str) -> tuple[list[tuple], Fault | None]:
     match, words = TOKENS[language].match, KEYWORDS[language]
     script = language in ("javascript", "typescript")
     out: list[tuple] = []
+    add = out.append
     at, size, newline = 0, len(text), True
     braces: list[int] = []  # depth of { inside each open template expression
     depth = 0
     if script and text.startswith("#!"):
         at = text.find("\n") if "\n" in text else size
-    markers = MARKER.search(text) is not None
+    markers = {m.start() for m in MARKER.finditer(text)}
     while at < size:
-        if markers and (at == 0 or text[at - 1] == "\n") and (m := MARKER.match(text, at)):
-            return out, ("conflict", at)
-        c = text[at]
-        if script:
-            if c == "`" or (c == "}" and braces and depth == braces[-1]):
-                if c == "}":
-                    out.append(("p", "}", at, newline))
-                    braces.pop()
-                start = at
-                at = _CHUNK.match(text, at + 1).end()
-                if at >= size:
-                    return out, ("literal", start)
-                if text[at] == "`":
-                    out.append(("str" if c == "`" else "tail", "`", start, newline))
-                    at += 1
-                else:  # ${
-                    out.append(("head" if c == "`" else "middle", "`", start, newline))
-                    out.append(("p", "${", at, False))
-                    braces.append(depth)
-                    at += 2
-                newline = False
-                continue
-            if c == "/" and at + 1 < size and text[at + 1] not in "/*" and (not out or _regex_may_follow(out[-1])):
-                m = _REGEX.match(text, at)
-                if m is None:
-                    return out, ("literal", at)
-                out.append(("str", "/re/", at, newline))
-                at, newline = m.end(), False
-                continue
         m = match(text, at)
         if m is None:
-            if text.startswith("/*", at) or c in "\"'`":
+            at += len(text[at:]) - len(text[at:].lstrip("\ufeff \t\r\n\f\v"))
+            if at in markers:
+                return out, ("conflict", at)
+            if text.startswith("/*", at) or text[at] in "\"'`":
                 return out, ("literal", at)
             return out, ("character", at)
         kind, end = m.lastgroup, m.end()
-        if kind == "ws":
-            nl = text.find("\n", at, end)
-            if nl >= 0:
-                newline = True
-                if markers and nl + 1 < end:
-                    end = text.rfind("\n", at, end) + 1
-                    if end == at:
-                        end = m.end()
-        elif kind == "lc":
-            pass
-        elif kind == "bc":
-            newline = newline or "\n" in text[at:end]
+        start = m.end("ws")
+        if start > at:
+            newline = newline or "\n" in m.group("ws")
         else:
-            t = text[at:end] if kind in ("id", "p", "num") else "str"
-            if kind == "id" and t in words:
-                kind = "kw"
+            start = at
+        if start in markers:
+            return out, ("conflict", start)
+        at = end
+        if kind == "id":
+            t = text[start:end]
+            add(("kw" if t in words else "id", t, start, newline))
+        elif kind == "p":
+            t = text[start:end]
             if t == "{":
                 depth += 1
             elif t == "}":
-                depth -= 1
-            out.append((kind, t, at, newline))
-            newline = False
-        at = end
+                if braces and depth == braces[-1]:
+                    add(("p", "}", start, newline))
+                    braces.pop()
+                    t = "`"
+                else:
+                    depth -= 1
+            if script:
+                if t == "`":
+                    opening = text[start] == "`"
+                    at = _CHUNK.match(text, start + 1).end()
+                    if at >= size:
+                        return out, ("literal", start)
+                    if text[at] == "`":
+                        add(("str" if opening else "tail", "`", start, newline))
+                        at += 1
+                    else:  # ${
+                        add(("head" if opening else "middle", "`", start, newline))
+                        add(("p", "${", at, False))
+                        braces.append(depth)
+                        at += 2
+                    newline = False
+                    continue
+                if t in ("/", "/=") and start + 1 < size and text[start + 1] not in "/*" and (not out or _regex_may_follow(out[-1])):
+                    m = _REGEX.match(text, start)
+                    if m is None:
+                        return out, ("literal", start)
+                    add(("str", "/re/", start, newline))
+                    at, newline = m.end(), False
+                    continue
+            add(("p", t, start, newline))
+        elif kind == "lc" or kind == "end":
+            continue
+        elif kind == "bc":
+            newline = newline or "\n" in text[start:end]
+            continue
+        else:
+            add((kind, text[start:end] if kind == "num" else "str", start, newline))
+        newline = False
     if braces:
         return out, ("unbalanced", size)
     return out, None
@@ -535,20 +541,18 @@ def _top_java(tokens: list[tuple], size: int) -> Fault | None:
 
 
 _PY = re.compile(
-    r"""(?P<nl>\n)|(?P<ws>[^\S\n]+|\\\r?\n)|(?P<c>\#[^\n]*)|(?P<str>[A-Za-z]{0,2}(?:'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*\"\"\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'|"(?!"")(?:[^"\\\n]|\\[\s\S])*"))|(?P<id>\w+)|(?P<p>[()\[\]{}])|(?P<q>['"])|(?P<o>.)"""
+    r"""(?P<c>\#[^\n]*+)|(?P<str>'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''|\"\"\"(?:[^"\\]++|\\[\s\S]|"(?!""))*+\"\"\"|'(?!'')(?:[^'\\\n]++|\\[\s\S])*+'|"(?!"")(?:[^"\\\n]++|\\[\s\S])*+")|(?P<p>[()\[\]{}])|(?P<q>['"])"""
 )
 
 
 def _python_stack(text: str) -> Fault | None:
     """Conflict markers, unterminated strings and unbalanced brackets of Python source."""
     stack: list[tuple[str, int]] = []
-    markers = MARKER.search(text) is not None
-    start = True
+    markers = [m.start() for m in MARKER.finditer(text)]
     for m in _PY.finditer(text):
         kind = m.lastgroup
-        if start and markers and MARKER.match(text, m.start()):
-            return ("conflict", m.start())
-        start = kind == "nl"
+        while markers and markers[0] <= m.start():
+            return ("conflict", markers[0])
         if kind == "q":
             return ("literal", m.start())
         if kind == "p":
@@ -557,9 +561,54 @@ def _python_stack(text: str) -> Fault | None:
                 stack.append((t, m.start()))
             elif not stack or OPEN[stack.pop()[0]] != t:
                 return ("unbalanced", m.start())
+        else:  # markers inside of a literal are text
+            while markers and markers[0] < m.end():
+                del markers[0]
+    if markers:
+        return ("conflict", markers[0])
     return ("unbalanced", stack[-1][1]) if stack else None
 
 
+_JSON = re.compile(r"""[ \t\r\n]*+(?:(?P<str>"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+")|(?P<num>-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][-+]?[0-9]++)?+)|(?P<word>true|false|null)|(?P<p>[\[\]{},:])|(?P<end>\Z))""")
+
+
+def _json_stack(text: str) -> Fault | None:
+    """First fault of strict JSON: a lexer, and a stack of open objects and arrays."""
+    stack: list[str] = []
+    want = "value"  # value, first (a value or the end of an array), key, name (a key or the end of an object), colon, more
+    at, size = 0, len(text)
+    match = _JSON.match
+    while True:
+        m = match(text, at)
+        if m is None:
+            blank = at
+            while blank < size and text[blank] in " \t\r\n":
+                blank += 1
+            return ("conflict" if MARKER.match(text, blank) else "literal" if text[blank] == '"' else "character", blank)
+        kind = m.lastgroup
+        start, at = m.start(kind), m.end()
+        if kind == "end":
+            return None if want == "more" and not stack else ("unbalanced" if stack else "end", size)
+        t = m.group("p") if kind == "p" else ""
+        if want in ("value", "first") and (kind != "p" or t in "[{"):
+            if t:
+                stack.append(t)
+                want = "first" if t == "[" else "name"
+            else:
+                want = "more"
+        elif want in ("key", "name") and kind == "str":
+            want = "colon"
+        elif want == "colon" and t == ":":
+            want = "value"
+        elif want == "more" and t == "," and stack:
+            want = "value" if stack[-1] == "[" else "key"
+        elif t == "]" and stack and stack[-1] == "[" and want in ("first", "more") or t == "}" and stack and stack[-1] == "{" and want in ("name", "more"):
+            stack.pop()
+            want = "more"
+        else:
+            return ("unbalanced" if t in ("]", "}") and want == "more" else "grammar", start)
+
+
 def _refuse(name: str):
     raise ValueError(name)
 
@@ -582,7 +631,7 @@ def check(text: str, language: str) -> Fault | None:
         except (RecursionError, MemoryError):
             pass  # too deeply nested for the exact check: the stack decides
     elif language == "json":
-        fault = ("conflict", MARKER.search(text).start()) if MARKER.search(text) else None
+        fault = _json_stack(text)
         try:
             json.loads(text, parse_constant=_refuse)
             fault = None

@@ -442,3 +442,23 @@ def test_training_takes_whole_documents_and_any_order(spark):
         models.append(language.train(spark.createDataFrame(order, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 20))
     a, b = models
     assert a.temper == b.temper and all((x == y).all() for x, y in zip(a.logs, b.logs))
+
+
+# --- JSON by its stack
+def test_json_stack_agrees_with_the_parser():
+    import json
+
+    rng = random.Random(17)
+    parts = ["{", "}", "[", "]", ",", ":", '"a"', '"\\n"', '"\\x"', '"', "1", "-0.5e3", "01", "true", "nul", " ", "\n", "NaN", "{}", "[1]", '{"k": 2}', "<<<<<<< a"]
+    seen = [0, 0]
+    for _ in range(6000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 7)))
+        try:
+            json.loads(text, parse_constant=lexers._refuse)
+            sound = True
+        except ValueError:
+            sound = False
+        seen[sound] += 1
+        assert (lexers._json_stack(text) is None) == sound, text
+    assert min(seen) > 150
+    assert lexers._json_stack("[" * 50_000 + "]" * 50_000) is None
