@@ -90,8 +90,18 @@ _PYTHON = regex.compile(
  (?:[ \t]*+(?&com)?+\n)*+[ \t]*+(?<doc>(?&str)(?=[ \t]*+(?:;|\#|\n|\Z)))?+(?<code>[^\n]*+(?:\n(?:[ \t]*+(?=\n|\Z)|(?P=indent)[ \t]++[^\n]*+))*+))|(?<skip>(?&com)|(?&str))''',
     regex.M | regex.X | regex.V1,
 )
-#: Places where a pattern can match: line starts, and characters that begin a string or a comment.
-_PLACES = re.compile(r"^|[\"'`/#]", re.M)
+_COMMENT = r"(?P<com>//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/)"
+_QUOTED = r"""\"(?:[^\"\\\n]++|\\[\s\S])*+\"|'(?:[^'\\\n]++|\\[\s\S])*+'"""
+_TRIPLE = r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""'
+#: Comments and literals, one behind the other: a linear scan finds where a declaration can stand.
+_LITERALS = {
+    "go": re.compile(rf"{_COMMENT}|{_QUOTED}|`[^`]*+`"),
+    "java": re.compile(rf"{_COMMENT}|{_TRIPLE}|{_QUOTED}"),
+    "javascript": re.compile(rf"{_COMMENT}|{_QUOTED}|`(?:[^`\\]++|\\[\s\S])*+`|(?:(?<=[(,=:\[!&|?{{}};])|(?<=[(,=:\[!&|?{{}};]\s))/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/"),
+    "python": re.compile(rf"(?P<com>\#[^\n]*+)|{_TRIPLE}|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''|{_QUOTED}"),
+}
+_LITERALS["typescript"] = _LITERALS["javascript"]
+_HEADS = {"go": re.compile(r"^func\b", re.M), "python": re.compile(r"^[ \t]*+(?:async[ \t]++)?+def[ \t]", re.M)}
 PATTERNS = {"javascript": _SCRIPT, "typescript": _SCRIPT, "go": _GO, "java": _JAVA, "python": _PYTHON}
 
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -137,49 +147,106 @@ def trivial(text: str, name: str, least: int = LEAST_WORDS) -> bool:
     return sum(w.lower() not in own for w in _LETTERS.findall(text)) < least
 
 
-def captures(text: str, language: str) -> Iterator[tuple[str, int, str, str, str]]:
-    """(name, line, signature, description, code) of each function that carries a comment at its place, trivial or not."""
+def _places(text: str, language: str) -> Iterator[int]:
+    """Line starts where a documented declaration can begin: at a ``/**`` comment, at the comments above a func, at a def."""
+    heads = _HEADS.get(language)
+    inside: list[tuple[int, int]] = []
+    comments: dict[int, int] = {}
+    for m in _LITERALS[language].finditer(text):
+        if heads is None:
+            if m.lastgroup == "com" and text.startswith("/**", m.start()):
+                line = text.rfind("\n", 0, m.start()) + 1
+                if not text[line : m.start()].strip(" \t"):
+                    yield line
+        else:
+            inside.append(m.span())
+            if m.lastgroup == "com":
+                comments[m.end()] = m.start()
+    if heads is None:
+        return
+    k = 0
+    for m in heads.finditer(text):
+        while k < len(inside) and inside[k][1] <= m.start():
+            k += 1
+        if k < len(inside) and inside[k][0] < m.start():
+            continue
+        top = m.start()
+        if language == "go":
+            while top:
+                end = top - 1
+                while end not in comments and end and text[end - 1] in " \t":
+                    end -= 1
+                if end not in comments:
+                    break
+                line = text.rfind("\n", 0, comments[end]) + 1
+                if text[line : comments[end]].strip(" \t"):
+                    break
+                top = line
+            if top == m.start():
+                continue
+        yield top
+
+
+def _functions(tree: ast.AST) -> Iterator[ast.AST]:
+    """Function nodes of a tree; they stand in lists of statements only."""
+    stack = [tree]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            yield node
+        for part in ("body", "orelse", "finalbody", "handlers", "cases"):
+            if isinstance(below := getattr(node, part, None), list):
+                stack += below
+
+
+def captures(text: str, language: str, tree: ast.AST | None = None) -> Iterator[tuple[str, int, str, str, str]]:
+    """(name, line, signature, description, code) of each function that carries a comment at its place, trivial or not.
+
+    The recursive pattern is tried only where a linear scan of comments and literals leaves room for a documented declaration.
+    """
     pattern = PATTERNS.get(language)
     if pattern is None:
         return
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    nodes = None
+    nodes = {n.lineno: n for n in _functions(tree)} if tree is not None else None
+    line, counted = 1, 0
+    for place in _places(text, language):
+        m = pattern.match(text, place)
+        if m is None or m.group("name") is None or not m.group("doc"):
+            continue
+        line += text.count("\n", counted, m.start("name"))
+        counted = m.start("name")
+        doc, code = m.group("doc"), text[m.start("head") : m.end()]
+        if language == "python":
+            body = doc.lstrip("rRuU")
+            quote = 3 if body[:3] in ('"""', "'''") else 1
+            said: str | None = body[quote:-quote] if body[:1] in "\"'" else None
+            if nodes is not None:
+                node = nodes.get(line)
+                said = ast.get_docstring(node, clean=True) if node is not None and node.name == m.group("name") else None
+        else:
+            said = doc
+        if said is not None:
+            yield m.group("name"), line, m.group("head").strip(), description(said, language), code
+
+
+def pairs(text: str, language: str, least: int = LEAST_WORDS) -> list[tuple[str, int, str, str, str]]:
+    """Captures of a file that are really documented; none of a file that doesn't parse.
+
+    Python is parsed once, for its docstrings too; the lexers of the other languages run where there is a capture to confirm.
+    """
+    tree = None
     if language == "python":
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             try:
-                nodes = {n.lineno: n for n in ast.walk(ast.parse(text)) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)}
-            except (RecursionError, MemoryError, SyntaxError, ValueError):
-                nodes = None
-    at, line, counted = 0, 1, 0
-    while at < len(text) and (place := _PLACES.search(text, at)):
-        m = pattern.match(text, place.start())
-        if m is None:
-            at = place.start() + 1
-            continue
-        if m.group("skip") is not None or m.group("name") is None:
-            at = max(m.end(), at + 1)
-            continue
-        head = m.start("head")
-        line += text.count("\n", counted, m.start("name"))
-        counted = m.start("name")
-        doc = m.group("doc")
-        if doc:
-            code = text[head : m.end()]
-            if language == "python":
-                body = doc.lstrip("rRuU")
-                quote = 3 if body[:3] in ('"""', "'''") else 1
-                said: str | None = body[quote:-quote] if body[:1] in "\"'" else None
-                if nodes is not None:
-                    node = nodes.get(line)
-                    said = ast.get_docstring(node, clean=True) if node is not None and node.name == m.group("name") else None
-            else:
-                said = doc
-            if said is not None:
-                yield m.group("name"), line, m.group("head").strip(), description(said, language), code
-        # go on inside the function: nested ones count too
-        inner = m.start("code") + 1 if m.group("code") and language not in ("go", "python") else m.end("doc") if doc and language == "python" else m.end("head") if language == "python" else m.end()
-        at = max(inner, at + 1)
+                tree = ast.parse(text)
+            except (SyntaxError, ValueError):
+                return []
+            except (RecursionError, MemoryError):
+                pass
+    found = [c for c in captures(text, language, tree) if not trivial(c[3], c[0], least)]
+    return found if found and (tree is not None or check(text, language) is None) else []
 
 
 def documented(files: DataFrame, file_id: str = "file_id", path: str = "path", language: str = "language", content: str = "content", least: int = LEAST_WORDS) -> DataFrame:
@@ -192,11 +259,9 @@ def documented(files: DataFrame, file_id: str = "file_id", path: str = "path", l
             rows = []
             for f, p, l, text in zip(batch["file_id"].tolist(), batch["_path"], batch["_language"], batch["_content"]):
                 lang = language_of(p, l)
-                if not text or lang not in PATTERNS or check(text, lang) is not None:
+                if not text or lang not in PATTERNS:
                     continue
-                for name, line, signature, doc, code in captures(text, lang):
-                    if not trivial(doc, name, least):
-                        rows.append((f, lang, name, line, signature, doc, code))
+                rows += [(f, lang, *pair) for pair in pairs(text, lang, least)]
             yield pd.DataFrame(rows, columns=["file_id", "language", "name", "start_line", "signature", "doc", "code"])
 
     picked = files.select(F.col(file_id).alias("file_id"), F.col(path).alias("_path"), F.col(language).alias("_language"), F.col(content).alias("_content"))
