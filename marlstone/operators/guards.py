@@ -14,7 +14,7 @@ def path_rules(path: Column) -> Column:
     env = (name == ".env") | (name.startswith(".env.") & ~name.isin(".env.example", ".env.sample", ".env.template"))
     rules = [
         (F.array_contains(segments, ".work"), "private-work-directory"),
-        (F.array_contains(segments, ".claude"), "private-assistant-directory"),
+        (F.array_contains(segments, ".claude"), "private-claude-directory"),
         (env, "environment-file"),
         ((name == "auth-state.json") | name.endswith("-auth-state.json"), "browser-auth-state"),
         (name.isin("cookies.txt", "cookies.json") | name.endswith(".cookies.txt"), "browser-cookie-file"),

@@ -36,7 +36,7 @@ RISK = [
     Pattern("http-client", r"\bhttp\.(?:Get|Post|Head)\(", "api-contracts", 8, "outbound http boundary", 3),
     Pattern("database-open", r"\b(?:sql\.Open|pgxpool\.New|pgx\.Connect)\(", "data-integrity", 10, "database boundary", 3),
     Pattern("filesystem-write", r"\bos\.(?:WriteFile|Create(?:Temp)?|Remove(?:All)?|Rename|MkdirAll)\(", "data-integrity", 8, "filesystem write boundary", 3),
-    Pattern("unbounded-read", r"\bio\.ReadAll\(", "performance", 6, "unbounded read", 3, bounded=r"\s*io\.LimitReader\("),
+    Pattern("unbounded-read", r"\bio\.ReadAll\(", "performance", 6, "unbounded read candidate", 3, bounded=r"\s*io\.LimitReader\("),
     Pattern("change-marker", r"\b(?:TODO|FIXME|HACK|XXX)\b", "best-practices", 4, "change marker", 3, True),
     Pattern("goroutine", r"\bgo\s+func\(", "lifecycle-concurrency", 6, "goroutine launch", 3),
     Pattern("panic", r"\bpanic\(", "error-handling", 4, "panic path", 3),
@@ -102,8 +102,26 @@ def hits(lines: DataFrame, patterns: list[Pattern], line_text: str = "text") ->
     return lines.withColumn("_hit", F.explode(every)).select("*", "_hit.*").drop("_hit")
 
 
-def risk_points(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Scored observations: path, lane, reason, points after decay, counted.
+#: Fixed values: (signal, least value, points, lane, reason) of a file's structure; signatures earn 6 points each.
+STRUCTURE = [
+    ("imported_by", 5, 15, "architecture", "package imported by %d files"),
+    ("depends_on", 8, 10, "coupling", "imports %d dependencies"),
+    ("symbols", 25, 8, "large-functions", "%d symbols in one file"),
+    ("signatures", 1, 6, "api-contracts", "%d complex public signature(s)"),
+]
+
+
+def structure_points(signals: DataFrame) -> DataFrame:
+    """(path, line, ordinal, lane, reason, weight) of structure signals."""
+    stages = [
+        F.when(F.col(name) >= least, F.struct(F.lit(0).alias("line"), F.lit(50 + i).alias("ordinal"), F.lit(lane).alias("lane"), F.format_string(reason, name).alias("reason"), (F.lit(weight) * (F.col(name) if name == "signatures" else F.lit(1))).cast("int").alias("weight")))
+        for i, (name, least, weight, lane, reason) in enumerate(STRUCTURE)
+    ]
+    return signals.select("path", F.explode(F.array_compact(F.array(*stages))).alias("s")).select("path", "s.*")
+
+
+def risk_points(files: DataFrame, lines: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """Scored observations: path, lane, reason, points after decay, counted; signals are those of ``imports.structure_signals``.
 
     The n-th observation of a reason earns half of the one before, at least 1;
     matches of a pattern beyond its maximum earn nothing.
@@ -122,6 +140,8 @@ def risk_points(files: DataFrame, lines: DataFrame) -> DataFrame:
     capped = found.withColumn("_n", nth).filter(F.col("_n") <= F.col("m.most"))
     of_line = capped.select("path", F.col("number").alias("line"), (F.col("ordinal") + 100).alias("ordinal"), "lane", "m.reason", "m.weight")
     every = of_path.unionByName(of_line)
+    if signals is not None:
+        every = every.unionByName(structure_points(signals))
     again = F.row_number().over(Window.partitionBy("path", "reason").orderBy("line", "ordinal"))
     return every.withColumn("_k", again).withColumn("points", F.greatest(F.lit(1), F.expr("shiftright(weight, least(_k - 1, 30))"))).select("path", "lane", "reason", "line", "points")
 

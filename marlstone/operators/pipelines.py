@@ -10,7 +10,8 @@ KINDS = [
     ("main", "Boot"), ("cmd", "Boot"), ("cli", "Boot"), ("boot", "Boot"), ("commands", "Route"), ("command", "Route"), ("dispatch", "Route"), ("route", "Route"),
     ("spec", "Parse"), ("schema", "Parse"), ("model", "Parse"), ("parse", "Parse"), ("load", "Parse"), ("validate", "Check"), ("valid", "Check"), ("check", "Check"), ("lint", "Check"),
     ("render", "Render"), ("template", "Render"), ("templates", "Render"), ("view", "Render"), ("html", "Render"), ("watch", "Watch"), ("watcher", "Watch"), ("fsnotify", "Watch"), ("notify", "Watch"),
-    ("serve", "Serve"), ("server", "Serve"), ("http", "Serve"),
+    ("serve", "Serve"), ("server", "Serve"), ("http", "Serve"), ("handler", "Serve"), ("route", "Serve"), ("routes", "Serve"), ("emit", "Emit"), ("output", "Emit"),
+    ("review", "Analyze"), ("scan", "Analyze"), ("analyze", "Analyze"), ("inspect", "Analyze"),
 ]
 
 

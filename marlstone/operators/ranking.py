@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths, text
@@ -15,11 +15,22 @@ ENTRY = {"main.go": 40, "main.ts": 30, "index.ts": 30, "index.js": 30, "app.py":
 KIND_POINTS = {"interface": 3, "type": 3, "struct": 2, "constant": 0, "variable": 0}
 #: Demotion by class.
 DEMOTE = {"example": -12, "vendor": -20, "generated": -20, "docs": -6, "test": -10}
-TIERS = {"entry": "lexical", "orientation": "lexical", "symbols": "confirmed", "depth": "lexical", "callers": "confirmed", "class": "lexical", "test": "lexical", "intent": "contextual"}
+#: Tiers of the components that are not confirmed.
+TIERS = {"callers": "lexical", "intent": "contextual", "consumed": "contextual"}
 
 
-def components(files: DataFrame, symbols: DataFrame, callers: DataFrame, intent: str = "") -> DataFrame:
-    """(path, component, points) of every component that is not 0; files has path, language, class."""
+def tier(component: Column) -> Column:
+    """Confidence tier of a component."""
+    table = F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair])
+    return F.coalesce(table[component], F.lit("confirmed"))
+
+
+def components(files: DataFrame, symbols: DataFrame, callers: DataFrame, intent: str = "", imported: DataFrame | None = None, consumed: list[str] | None = None, reference: DataFrame | None = None) -> DataFrame:
+    """(path, component, points) of every component that is not 0; files has path, language, class.
+
+    imported: (path, score) of files whose package others import; consumed: paths that are read already;
+    reference: (node, bonus) of the reference graph's ranks.
+    """
     name = paths.base(F.col("path"))
     entry = F.create_map(*[F.lit(x) for pair in ENTRY.items() for x in pair])
     demote = F.create_map(*[F.lit(x) for pair in DEMOTE.items() for x in pair])
@@ -28,7 +39,7 @@ def components(files: DataFrame, symbols: DataFrame, callers: DataFrame, intent:
     folder = F.element_at(F.split(F.col("path"), "/"), -2)
     package = F.when(F.size(F.split(F.col("path"), "/")) > 1, folder)
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    compat = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in ("compat", "_compat", "legacy")]))
+    compat = F.arrays_overlap(F.split(F.translate("path", "\\", "/"), "/"), F.array(*[F.lit(x) for x in ("compat", "_compat", "legacy")]))
 
     def part(label: str, points) -> DataFrame:
         return files.select("path", F.lit(label).alias("component"), points.cast("long").alias("points"))
@@ -39,15 +50,24 @@ def components(files: DataFrame, symbols: DataFrame, callers: DataFrame, intent:
     class_points = F.when((F.col("class") == "test") & test, 0).otherwise(F.coalesce(demote[F.col("class")], F.lit(0))) + F.when(compat, -12).otherwise(0)
     of_symbols = symbols.filter("exported").groupBy("path").agg(F.least(F.lit(20), F.sum(F.coalesce(kinds[F.col("kind")], F.lit(1)))).cast("long").alias("points")).select("path", F.lit("symbols").alias("component"), "points")
     of_callers = callers.groupBy(F.col("dst").alias("path")).agg(F.least(F.lit(20), F.max("score")).cast("long").alias("points")).select("path", F.lit("callers").alias("component"), "points")
+    tested_folders = files.filter(test).select(paths.directory(F.col("path")).alias("_d")).distinct()
+    tested = files.filter(~test).withColumn("_d", paths.directory(F.col("path"))).join(tested_folders, "_d", "left_semi").select("path", F.lit("tests").alias("component"), F.lit(4).cast("long").alias("points"))
     parts = [
         part("entry", F.coalesce(entry[name], F.lit(0))),
         part("orientation", orientation),
         part("depth", depth),
-        part("test", F.when(test, -15).otherwise(0)),
-        part("class", class_points),
+        part("test_demote", F.when(test, -15).otherwise(0)),
+        part("class_demote", class_points),
+        tested,
         of_symbols,
         of_callers,
     ]
+    if imported is not None:
+        parts.append(imported.select("path", F.lit("imports").alias("component"), F.col("score").cast("long").alias("points")))
+    if consumed:
+        parts.append(part("consumed", F.when(F.col("path").isin(consumed), 15).otherwise(0)))
+    if reference is not None:
+        parts.append(reference.select(F.col("node").alias("path"), F.lit("reference_graph").alias("component"), F.col("bonus").cast("long").alias("points")))
     if intent:
         parts.append(intent_points(files, symbols, intent))
     return reduce(DataFrame.unionByName, parts).filter("points <> 0")

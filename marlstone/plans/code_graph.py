@@ -72,15 +72,16 @@ def repeated_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bonus of files whose exported names other files use: 2 a file, 24 at most; names used by over 40 % of the files don't count."""
+    """Bonus of files (but Go's) whose exported names other files use: 2 a file, 24 at most; names that over 40 % of the files declare don't count."""
     lines = _lines(spark, sf_dir)
-    names = declarations.symbols(lines).filter(F.col("exported") & (F.octet_length("name") >= 4)).select("name", F.col("path").alias("dst")).distinct()
-    words = lines.select("path", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"[\p{L}_][\p{L}\p{Nd}_]*"), F.lit(0)))).alias("name")).distinct()
-    used = names.join(words, "name").filter("path <> dst")
-    common = used.groupBy("name").agg(F.count_distinct("path").alias("files"))
-    limit = adapters.files(spark, sf_dir).agg((F.count(F.lit(1)) * 0.4).alias("most"))
-    kept = used.join(common, "name").crossJoin(F.broadcast(limit)).filter(~((F.col("most") >= 2) & (F.col("files") > F.col("most"))))
-    return kept.groupBy("dst").agg(F.count_distinct("path").alias("users")).select(F.col("dst").alias("path"), F.least(F.lit(24), 2 * F.col("users")).cast("long").alias("bonus"))
+    declared = declarations.symbols(lines).filter(F.col("exported") & (F.col("language") != "go") & (F.octet_length("name") >= 4)).select("name", F.col("path").alias("dst"))
+    limit = adapters.files(spark, sf_dir).agg(F.expr("count(1) * 40 div 100").alias("most"))
+    # names that many files declare go before anything is joined
+    targets = declared.groupBy("name").agg(F.count(F.lit(1)).alias("targets")).crossJoin(F.broadcast(limit)).filter((F.col("most") < 2) | (F.col("targets") <= F.col("most"))).select("name")
+    names = declared.distinct().join(targets, "name")
+    words = lines.select("path", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(r"[\p{L}_][\p{L}\p{Nd}_]*"), F.lit(0)))).alias("name")).join(targets, "name", "left_semi").distinct()
+    used = words.join(names, "name").filter("path <> dst").select("dst", "path").distinct()
+    return used.groupBy("dst").agg(F.count(F.lit(1)).alias("users")).select(F.col("dst").alias("path"), F.least(F.lit(24), 2 * F.col("users")).cast("long").alias("bonus"))
 
 
 def _trade(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
@@ -219,7 +220,7 @@ ORACLES = {
     "orphan_symbols": f"WITH {SYMBOLS}, {_SEEN}, d AS (SELECT name, count_if{_TEST} AS dt, count_if(NOT {_TEST}) AS d_other FROM s GROUP BY name) SELECT path, line, name, kind, CASE WHEN coalesce(other, 0) - d_other <= 0 AND coalesce(test, 0) - dt <= 0 THEN 'zero' WHEN coalesce(other, 0) - d_other <= 0 THEN 'test-only' ELSE 'used' END AS usage FROM s JOIN d USING (name) LEFT JOIN n USING (name) WHERE exported AND NOT {_TEST} AND class <> 'generated' AND name <> 'main'",
     "dead_symbols": f"WITH {SYMBOLS}, {_SEEN}, d AS (SELECT name, count(*) AS declared FROM s GROUP BY name) SELECT path, line, name, kind FROM s JOIN d USING (name) JOIN n USING (name) WHERE NOT exported AND name NOT IN ('main', 'init', '_') AND name NOT LIKE 'Test%' AND test + other <= declared",
     "repeated_declarations": f"WITH {SYMBOLS}, b AS (SELECT language, kind, sha256(signature) AS body_hash, path || ':' || line AS site, row_number() OVER (PARTITION BY language, kind, signature ORDER BY path, line) AS rn FROM s) SELECT language, kind, body_hash, count(*)::BIGINT AS sites, string_agg(site, ' ' ORDER BY site) FILTER (WHERE rn <= 4) AS shown FROM b GROUP BY language, kind, body_hash HAVING count(*) >= 2",
-    "symbol_references": rf"WITH {SYMBOLS}, x AS (SELECT DISTINCT name, path AS dst FROM s WHERE exported AND strlen(name) >= 4), w AS (SELECT DISTINCT path, unnest(regexp_extract_all(raw, '[\p{{L}}_][\p{{L}}\p{{Nd}}_]*')) AS name FROM l), u AS (SELECT x.name, dst, w.path FROM x JOIN w USING (name) WHERE w.path <> dst), c AS (SELECT name, count(DISTINCT path) AS files FROM u GROUP BY name), m AS (SELECT count(*) * 0.4 AS most FROM f) SELECT dst AS path, least(24, 2 * count(DISTINCT u.path))::BIGINT AS bonus FROM u JOIN c USING (name), m WHERE NOT (most >= 2 AND files > most) GROUP BY dst",
+    "symbol_references": rf"WITH {SYMBOLS}, m AS (SELECT count(*) * 40 // 100 AS most FROM f), x0 AS (SELECT name, path AS dst FROM s WHERE exported AND language <> 'go' AND strlen(name) >= 4), x AS (SELECT DISTINCT name, dst FROM x0 WHERE name NOT IN (SELECT name FROM x0, m GROUP BY name, most HAVING most >= 2 AND count(*) > most)), w AS (SELECT DISTINCT path, unnest(regexp_extract_all(raw, '[\p{{L}}_][\p{{L}}\p{{Nd}}_]*')) AS name FROM l) SELECT dst AS path, least(24, 2 * count(DISTINCT w.path))::BIGINT AS bonus FROM x JOIN w USING (name) WHERE w.path <> dst GROUP BY dst",
     "graph_kinds": f"WITH {_CALLS}, {_trade_sql()}, b AS (SELECT 'calls' AS kind, src, dst FROM e UNION ALL SELECT 'trades', src::VARCHAR, dst::VARCHAR FROM t) SELECT kind, count(*)::BIGINT AS edges, count(DISTINCT (src, dst))::BIGINT AS pairs FROM b GROUP BY kind",
     "graph_degrees": f"WITH {_trade_sql()}, {_DEG} SELECT * FROM g",
     "graph_hubs": f"WITH {_trade_sql()}, {_DEG} SELECT *, in_degree + out_degree AS degree FROM g ORDER BY degree DESC, node LIMIT 25",

@@ -124,8 +124,9 @@ CLASS = f"""CASE WHEN {GENERATED} OR list_contains(string_split(lower(path), '/'
  WHEN list_has_any(string_split(lower(path), '/'), ['vendor', 'node_modules', 'third_party']) THEN 'vendor'
  WHEN lower(path) LIKE '%\\_test.go' ESCAPE '\\' OR list_has_any(string_split(lower(path), '/'), ['test', 'tests']) THEN 'test'
  WHEN list_has_any(string_split(lower(path), '/'), ['testdata', 'fixtures', 'fixture']) THEN 'fixture'
- WHEN list_contains(string_split(lower(path), '/'), 'docs') THEN 'docs'
- WHEN list_has_any(string_split(lower(path), '/'), ['example', 'examples']) THEN 'example'
+ WHEN list_contains(string_split(lower(path), '/'), 'docs') OR regexp_matches(lower(path), '(^|/)(readme|contributing|changelog|license)\\.md$') THEN 'docs'
+ WHEN list_has_any(string_split(lower(path), '/'), ['example', 'examples']) OR regexp_matches(lower(path), '(^|/)example_[^/]*$') THEN 'example'
+ WHEN list_has_any(string_split(lower(path), '/'), ['.work', 'receipts', 'artifacts', 'benchmarks']) OR lower(path) LIKE '%.jsonl' THEN 'receipt/data'
  WHEN {LANGUAGE} <> 'unknown' THEN 'production' ELSE 'unknown' END"""
 FILES = f"f AS (SELECT file_id, repo, path, size, content, {LANGUAGE} AS language, {GENERATED} AS generated, {CLASS} AS class FROM source_files)"
 _DIR = "CASE WHEN regexp_replace(path, '/?[^/]*$', '') = '' THEN '.' ELSE regexp_replace(path, '/?[^/]*$', '') END"

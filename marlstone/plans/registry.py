@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import code_graph, data_quality, files, reports, retrieval, scans, structure
+from marlstone.plans import code_graph, data_quality, files, reports, retrieval, samples, scans, structure
 
-MODULES = [data_quality, files, scans, code_graph, retrieval, reports, structure]
+MODULES = [data_quality, files, scans, code_graph, retrieval, reports, structure, samples]
 FLAGSHIP = "bm25_topk"
 
 

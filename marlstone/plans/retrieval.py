@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions import paths, text
-from marlstone.operators import declarations, ranking, retrieval
+from marlstone.functions import text
+from marlstone.operators import declarations, imports, ranking, retrieval
 from marlstone.plans.code_graph import SYMBOLS
+from marlstone.plans.scans import IMPORTS
 from marlstone.session import load, materialize
 from marlstone.sources import adapters
 
@@ -109,7 +110,9 @@ def _parts(spark: SparkSession, sf_dir: str, intent: str = "") -> tuple[DataFram
     edges = declarations.call_edges(symbols, declarations.calls(lines)).filter("src <> dst")
     callers = edges.groupBy("symbol", "dst").agg(F.count_distinct("src").alias("callers")).withColumn("score", F.least(F.lit(20), 2 * F.col("callers")))
     slim = files.select("path", "language", "class")
-    return slim, ranking.components(slim, symbols, callers, intent)
+    found = imports.import_edges(files.select("path", "language", "content"))
+    imported = imports.imported_files(imports.internal_imports(found, slim), slim)
+    return slim, ranking.components(slim, symbols, callers, intent, imported)
 
 
 def rank_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +128,7 @@ def file_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rank_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of each confidence tier per file."""
-    tier = F.create_map(*[F.lit(x) for pair in ranking.TIERS.items() for x in pair])
-    return _parts(spark, sf_dir)[1].groupBy("path", tier[F.col("component")].alias("tier")).agg(F.sum("points").cast("long").alias("points"))
+    return _parts(spark, sf_dir)[1].groupBy("path", ranking.tier(F.col("component")).alias("tier")).agg(F.sum("points").cast("long").alias("points"))
 
 
 def header_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +152,6 @@ def file_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (bm25_topk, retrieval_metrics, mean_metrics, first_relevant_tokens, recall_at_budget, eval_gate, rank_components, file_rank, rank_tiers, header_cutoff, file_impact, bm25_topk_whole, retrieval_metrics_whole, mean_metrics_whole, first_relevant_tokens_whole, recall_at_budget_whole)}
-_ = paths
 
 _BM = r"""q AS (SELECT case_id AS query, split_part(passage, '. ', 1) AS request FROM eval_cases),
 qt AS (SELECT query, term, count(*) AS qtf FROM (SELECT query, unnest(regexp_extract_all(lower(request), '[a-z0-9_]+')) AS term FROM q) GROUP BY query, term),
@@ -175,15 +176,19 @@ _NAME = "regexp_extract(path, '[^/]*$')"
 _USERS = rf"""u AS (SELECT name, min(path) AS dst, min(line) AS declared FROM s GROUP BY name HAVING count(*) = 1),
 cl AS (SELECT path, number AS line, unnest(regexp_extract_all(text, '\b([A-Za-z_]\w*)\(', 1)) AS name FROM l),
 e AS (SELECT cl.path AS src, u.dst, cl.name AS symbol FROM cl JOIN u USING (name) WHERE cl.name NOT IN ({', '.join(repr(x) for x in declarations.NO_CALLS)}) AND cl.path <> u.dst)"""
-_COMPONENTS = rf"""{SYMBOLS}, {_USERS}, cc AS (SELECT symbol, dst, least(20, 2 * count(DISTINCT src)) AS score FROM e GROUP BY symbol, dst),
+_COMPONENTS = rf"""{SYMBOLS}, {_USERS}, {IMPORTS}, fo AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS folder FROM f WHERE language = 'go'),
+ii AS (SELECT path, arg_max(folder, strlen(folder)) AS folder FROM im JOIN fo ON language = 'go' AND folder <> '' AND (module = folder OR ends_with(module, '/' || folder)) GROUP BY path, module), imp AS (SELECT folder, count(DISTINCT path) AS importers FROM ii GROUP BY folder),
+cc AS (SELECT symbol, dst, least(20, 2 * count(DISTINCT src)) AS score FROM e GROUP BY symbol, dst),
 parts AS (SELECT * FROM (
- SELECT path, 'entry' AS component, (CASE {_NAME} {' '.join(f"WHEN '{k}' THEN {v}" for k, v in ranking.ENTRY.items())} ELSE 0 END)::BIGINT AS points FROM f
+ SELECT path, 'entry' AS component, (CASE {_NAME} WHEN 'main.go' THEN 40 WHEN 'main.ts' THEN 30 WHEN 'index.ts' THEN 30 WHEN 'index.js' THEN 30 WHEN 'app.py' THEN 30 WHEN 'main.py' THEN 30 WHEN 'main.rs' THEN 30 ELSE 0 END)::BIGINT AS points FROM f
  UNION ALL SELECT path, 'orientation', least(35, (CASE WHEN language = 'go' AND regexp_replace({_NAME}, '\.[^.]*$', '') = string_split(path, '/')[-2] THEN 25 ELSE 0 END) + (CASE WHEN {_NAME} = 'types.go' THEN 20 ELSE 0 END) + (CASE WHEN path NOT LIKE '%/%' AND path LIKE '%.go' AND path NOT LIKE '%\_test.go' ESCAPE '\' THEN 8 ELSE 0 END))::BIGINT FROM f
  UNION ALL SELECT path, 'depth', least(0, 2 - (len(string_split(path, '/')) - 1))::BIGINT FROM f
- UNION ALL SELECT path, 'test', (CASE WHEN path LIKE '%\_test.go' ESCAPE '\' THEN -15 ELSE 0 END)::BIGINT FROM f
- UNION ALL SELECT path, 'class', ((CASE WHEN class = 'test' AND path LIKE '%\_test.go' ESCAPE '\' THEN 0 ELSE CASE class {' '.join(f"WHEN '{k}' THEN {v}" for k, v in ranking.DEMOTE.items())} ELSE 0 END END) + (CASE WHEN list_has_any(string_split(path, '/'), ['compat', '_compat', 'legacy']) THEN -12 ELSE 0 END))::BIGINT FROM f
+ UNION ALL SELECT path, 'test_demote', (CASE WHEN path LIKE '%\_test.go' ESCAPE '\' THEN -15 ELSE 0 END)::BIGINT FROM f
+ UNION ALL SELECT path, 'class_demote', ((CASE WHEN class = 'test' AND path LIKE '%\_test.go' ESCAPE '\' THEN 0 ELSE CASE class WHEN 'example' THEN -12 WHEN 'vendor' THEN -20 WHEN 'generated' THEN -20 WHEN 'docs' THEN -6 WHEN 'test' THEN -10 ELSE 0 END END) + (CASE WHEN list_has_any(string_split(path, '/'), ['compat', '_compat', 'legacy']) THEN -12 ELSE 0 END))::BIGINT FROM f
  UNION ALL SELECT path, 'symbols', least(20, sum(CASE kind WHEN 'interface' THEN 3 WHEN 'type' THEN 3 WHEN 'struct' THEN 2 WHEN 'constant' THEN 0 WHEN 'variable' THEN 0 ELSE 1 END))::BIGINT FROM s WHERE exported GROUP BY path
- UNION ALL SELECT dst, 'callers', least(20, max(score))::BIGINT FROM cc GROUP BY dst) WHERE points <> 0)"""
+ UNION ALL SELECT dst, 'callers', least(20, max(score))::BIGINT FROM cc GROUP BY dst
+ UNION ALL SELECT path, 'tests', 4 FROM f WHERE path NOT LIKE '%\_test.go' ESCAPE '\' AND regexp_replace(path, '/?[^/]*$', '') IN (SELECT regexp_replace(path, '/?[^/]*$', '') FROM f WHERE path LIKE '%\_test.go' ESCAPE '\')
+ UNION ALL SELECT f.path, 'imports', CASE WHEN importers <= 8 THEN 10 * importers ELSE 72 + importers END FROM f JOIN imp ON f.language = 'go' AND regexp_replace(f.path, '/?[^/]*$', '') = imp.folder) WHERE points <> 0)"""
 ORACLES = {
     "bm25_topk": f"WITH {_BM} SELECT query, rank, doc, score FROM top",
     "retrieval_metrics": f"WITH {_METRICS} SELECT * FROM m",
@@ -192,7 +197,7 @@ ORACLES = {
     "recall_at_budget": f"WITH {_COSTS}, b AS (SELECT unnest([500, 1000, 2000, 4000, 8000, 16000, 32000])::BIGINT AS budget) SELECT budget, avg((tokens <= budget)::INT)::DOUBLE AS recall FROM k, b GROUP BY budget",
     "eval_gate": "SELECT classification, count(*)::BIGINT AS cases, count(DISTINCT category)::BIGINT AS categories, count(*) >= 25 AS enough FROM eval_cases GROUP BY classification",
     "rank_components": f"WITH {_COMPONENTS} SELECT path, component, points FROM parts",
-    "rank_tiers": f"WITH {_COMPONENTS} SELECT path, CASE component {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in ranking.TIERS.items())} END AS tier, sum(points)::BIGINT AS points FROM parts GROUP BY 1, 2",
+    "rank_tiers": f"WITH {_COMPONENTS} SELECT path, CASE component WHEN 'callers' THEN 'lexical' WHEN 'intent' THEN 'contextual' WHEN 'consumed' THEN 'contextual' ELSE 'confirmed' END AS tier, sum(points)::BIGINT AS points FROM parts GROUP BY 1, 2",
     "header_cutoff": f"WITH {_COMPONENTS}, r AS (SELECT f.path, coalesce(sum(points), 0) AS score FROM f LEFT JOIN parts USING (path) GROUP BY f.path), w AS (SELECT path, row_number() OVER (ORDER BY score DESC, path)::INT AS position, sum(strlen(path) + 30) OVER (ORDER BY score DESC, path) AS cost FROM r) SELECT path, position FROM w WHERE cost <= 2867",
     "file_impact": rf"WITH {SYMBOLS}, {_USERS}, n AS (SELECT dst AS path, count(DISTINCT src)::BIGINT AS users FROM e GROUP BY dst) SELECT path, users, CASE WHEN users > 10 THEN 'high' WHEN users > 3 OR (path IN (SELECT path FROM s WHERE exported) AND path NOT IN (SELECT regexp_replace(path, '_test\.go$', '.go') FROM f WHERE path LIKE '%\_test.go' ESCAPE '\')) THEN 'medium' ELSE 'low' END AS risk FROM n",
 }

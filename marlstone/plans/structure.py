@@ -117,7 +117,12 @@ def case_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (symbol_spans, clone_symbols, marker_owners, import_resolution, plan_drift, phase_kinds, custom_risk, task_candidates, task_packets, packed_texts, path_guards, case_validation)}
 
 _SPANS = f"{SYMBOLS}, sp AS (SELECT s.path, line, name, coalesce(lead(line) OVER (PARTITION BY s.path ORDER BY line, name), len(string_split(content, chr(10))) + 1)::INT AS fin FROM s JOIN f USING (path))"
-_KINDS = " ".join(f"WHEN starts_with(lower(regexp_extract(folder, '[^/]*$')), '{m}') THEN '{k}'" for m, k in pipelines.KINDS)
+_BASE = "lower(regexp_extract(folder, '[^/]*$'))"
+#: Written out here on its own, so that a wrong entry of the operator's table shows.
+_KINDS = " ".join(f"WHEN regexp_matches({_BASE}, '^({names})') THEN '{kind}'" for names, kind in [
+    ("main|cmd|cli|boot", "Boot"), ("commands|command|dispatch|route", "Route"), ("spec|schema|model|parse|load", "Parse"), ("validate|valid|check|lint", "Check"), ("render|template|templates|view|html", "Render"),
+    ("watch|watcher|fsnotify|notify", "Watch"), ("serve|server|http|handler|routes", "Serve"), ("emit|output", "Emit"), ("review|scan|analyze|inspect", "Analyze"),
+])
 _PREFIX = "(least(strlen(part), strlen(term)) >= 3 AND (starts_with(part, term) OR starts_with(term, part)))"
 ORACLES = {
     "symbol_spans": f'WITH {_SPANS} SELECT path, line, name, fin AS "end" FROM sp',
@@ -141,6 +146,6 @@ x AS (SELECT path, field, value, term, max(exact) AS exact FROM pt JOIN m USING
 h AS (SELECT case_id, path, sum(CASE WHEN exact = 1 THEN CASE field WHEN 'signature' THEN 4 ELSE 8 END ELSE CASE field WHEN 'signature' THEN 2 ELSE 4 END END)::BIGINT AS relevance, count(DISTINCT term)::BIGINT AS terms FROM g JOIN x USING (term) GROUP BY case_id, path),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, path)::INT AS rank FROM h) SELECT case_id, rank, path, relevance, terms, CASE WHEN relevance >= 16 THEN 'high' WHEN relevance >= 8 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE rank <= 96""",
     "packed_texts": "SELECT count(*)::BIGINT AS copies, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1",
-    "path_guards": r"WITH p AS (SELECT path FROM source_files UNION SELECT path FROM report_rows UNION SELECT path FROM evidence), b AS (SELECT path, string_split(path, '/') AS g, regexp_extract(path, '[^/]*$') AS n FROM p WHERE path IS NOT NULL) SELECT path, 'private-work-directory' AS rule FROM b WHERE list_contains(g, '.work') UNION ALL SELECT path, 'private-assistant-directory' FROM b WHERE list_contains(g, '.claude') UNION ALL SELECT path, 'environment-file' FROM b WHERE n = '.env' OR (starts_with(n, '.env.') AND n NOT IN ('.env.example', '.env.sample', '.env.template')) UNION ALL SELECT path, 'browser-auth-state' FROM b WHERE n = 'auth-state.json' OR ends_with(n, '-auth-state.json') UNION ALL SELECT path, 'browser-cookie-file' FROM b WHERE n IN ('cookies.txt', 'cookies.json') OR ends_with(n, '.cookies.txt') UNION ALL SELECT path, 'browser-agent-state-directory' FROM b WHERE list_contains(g, '.agent-browser-state')",
+    "path_guards": r"WITH p AS (SELECT path FROM source_files UNION SELECT path FROM report_rows UNION SELECT path FROM evidence), b AS (SELECT path, string_split(path, '/') AS g, regexp_extract(path, '[^/]*$') AS n FROM p WHERE path IS NOT NULL) SELECT path, 'private-work-directory' AS rule FROM b WHERE list_contains(g, '.work') UNION ALL SELECT path, 'private-claude-directory' FROM b WHERE list_contains(g, '.claude') UNION ALL SELECT path, 'environment-file' FROM b WHERE n = '.env' OR (starts_with(n, '.env.') AND n NOT IN ('.env.example', '.env.sample', '.env.template')) UNION ALL SELECT path, 'browser-auth-state' FROM b WHERE n = 'auth-state.json' OR ends_with(n, '-auth-state.json') UNION ALL SELECT path, 'browser-cookie-file' FROM b WHERE n IN ('cookies.txt', 'cookies.json') OR ends_with(n, '.cookies.txt') UNION ALL SELECT path, 'browser-agent-state-directory' FROM b WHERE list_contains(g, '.agent-browser-state')",
     "case_validation": "SELECT ((coalesce(trim(case_id), '') = '')::INT + (coalesce(trim(request), '') = '')::INT + (coalesce(token_budget, 0) <= 0)::INT + (coalesce(len(expected_paths), 0) = 0)::INT + (coalesce(classification, '') NOT IN ('lexical', 'non-lexical'))::INT + (len(list_filter(expected_paths, lambda p: starts_with(p, '/') OR contains(p, '..'))) > 0)::INT)::INT AS broken_rules, count(*)::BIGINT AS cases FROM eval_cases GROUP BY 1",
 }

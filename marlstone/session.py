@@ -91,6 +91,18 @@ def materialize(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out
 
 
+_WRITTEN: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str, write) -> str:
+    """A named folder of this application in the shared folder; write(path) fills it once."""
+    path = f"{_root(spark)}/{name}"
+    if path not in _WRITTEN:
+        write(path)
+        _WRITTEN.add(path)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize made, once nothing reads it any more."""
     path = getattr(df, "_marlstone_path", None)
