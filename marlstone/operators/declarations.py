@@ -86,3 +86,29 @@ def match_score(name: Column, query: str) -> Column:
         .when(F.lower(name).contains(query.lower()), 25)
         .otherwise(0)
     )
+
+
+def parse_query(query: str) -> tuple[str, str, str]:
+    """(name, kind, file) of ``kind:K:file:F:name``: the qualifiers in any order, the rest is the name; a ``symbol:`` handle stays whole."""
+    query = query.strip()
+    if query.startswith("symbol:"):
+        return query, "", ""
+    parts = query.split(":")
+    found = {"kind": "", "file": ""}
+    while len(parts) > 1 and parts[0] in found:
+        found[parts[0]] = parts[1]
+        parts = parts[2:]
+    return ":".join(parts), found["kind"], found["file"]
+
+
+def find(symbols_: DataFrame, query: str, kind: str = "", file: str = "") -> DataFrame:
+    """symbols with ``score`` that a query finds; explicit filters win over those in the query, an empty name finds nothing."""
+    name, own_kind, own_file = parse_query(query)
+    kind, file = kind or own_kind, file or own_file
+    keep = F.lit(bool(name))
+    if kind:
+        keep = keep & (F.lower("kind") == kind.lower())
+    if file:
+        keep = keep & F.col("path").contains(file)
+    scored = symbols_.filter(keep).withColumn("score", match_score(F.col("name"), name))
+    return scored.filter("score > 0").orderBy(F.desc("score"), "path", "line", "name")

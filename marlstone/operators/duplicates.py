@@ -43,6 +43,22 @@ def same_content(rows: DataFrame, key: str, content: str) -> DataFrame:
     return hashed.join(heads, "h").filter(F.col(key) != F.col("original")).select(key, "original")
 
 
+def go_bodies(files: DataFrame, least_lines: int = 10, least_statements: int = 5) -> DataFrame:
+    """(path, folder, line, kind, body_hash) of Go functions outside tests and generated files.
+
+    A function ends at the first line that starts with a closing brace. Bodies are compared without
+    indents, repeated blanks and empty lines; short ones and those of few statements are left out.
+    """
+    go = files.filter((F.col("language") == "go") & ~F.col("generated") & ~F.col("path").endswith("_test.go"))
+    src = F.regexp_extract_all("content", F.lit(r"(?m)^func [^\n]*\{\n(?:[^}\n][^\n]*+\n|\n)*+\}"), F.lit(0))
+    one = go.select("path", "content", F.explode(src).alias("src"))
+    line = F.size(F.split(F.expr("left(content, locate(src, content) - 1)"), "\n"))
+    body = F.filter(F.transform(F.slice(F.split("src", "\n"), F.lit(2), F.size(F.split("src", "\n"))), lambda x: F.regexp_replace(F.btrim(x, F.lit(" \t\r")), "[ \t]+", " ")), lambda x: x != "")
+    kept = one.filter((F.size(F.split("src", "\n")) >= least_lines) & (F.regexp_count("src", F.lit(r"(?m)^\t[^\t}\r\n]")) >= least_statements))
+    kind = F.when(F.col("src").startswith("func ("), "method").otherwise("function")
+    return kept.select("path", paths.directory(F.col("path")).alias("folder"), line.alias("line"), kind.alias("kind"), F.sha2(F.array_join(body, "\n"), 256).alias("body_hash"))
+
+
 def repeated_bodies(bodies: DataFrame, keys: list[str], least_sites: int = 2, show: int = 4) -> DataFrame:
     """Groups of equal bodies: number of sites and the first few of them."""
     site = Window.partitionBy(*keys, "body_hash").orderBy("path", "line")

@@ -70,9 +70,10 @@ def rank_bonus(edges: DataFrame, ranks: DataFrame, most: int = 30) -> DataFrame:
     return got.crossJoin(F.broadcast(got.agg(F.max("rank").alias("top")))).select("node", F.when(F.col("top") > 0, F.round(F.lit(most) * F.round("rank", 12) / F.round("top", 12))).otherwise(0).cast("int").alias("bonus"))
 
 
-def strong_components(edges: DataFrame, most: int | None = None) -> DataFrame:
+def strong_components(edges: DataFrame, most: int | None = None, trims: int = 4) -> DataFrame:
     """(node, component) by forward and backward labels; the component is its smallest node.
 
+    First nodes without an edge in or out leave, each its own component, ``trims`` times or until none does.
     Each round spreads the smallest label forward along the edges left, then
     walks back among nodes of one label; the nodes that both passes give the
     label of their own root form its component and leave, and so do edges
@@ -81,9 +82,20 @@ def strong_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     is left; a bound on the rounds, where given, raises.
     """
     left = materialize(distinct_edges(edges))
-    nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-    todo = materialize(nodes)
+    todo = materialize(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
+    left = left.filter("src <> dst")
     parts: list[DataFrame] = []
+    before = todo.count()
+    for _ in range(trims):
+        both = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        kept = materialize(both)
+        parts.append(todo.join(kept, "node", "left_anti").select("node", F.col("node").alias("component")))
+        todo, n = kept, kept.count()
+        left = materialize(left.join(kept.withColumnRenamed("node", "src"), "src", "left_semi").join(kept.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+        if not n or n == before:
+            break
+        before = n
+    trimmed = len(parts)
 
     def spread(pairs: DataFrame, start: DataFrame) -> DataFrame:
         label = materialize(start)
@@ -96,7 +108,7 @@ def strong_components(edges: DataFrame, most: int | None = None) -> DataFrame:
                 return label.select("node", "label")
 
     while not todo.isEmpty():
-        if most is not None and len(parts) >= most:
+        if most is not None and len(parts) - trimmed >= most:
             raise RuntimeError(f"nodes are left after {most} rounds")
         forward = spread(left.select(F.col("src").alias("a"), F.col("dst").alias("b")), todo.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")).alias("label"))).select("node", F.col("label.n").alias("label"))
         same = materialize(left.join(forward.select(F.col("node").alias("src"), F.col("label").alias("l1")), "src").join(forward.select(F.col("node").alias("dst"), F.col("label").alias("l2")), "dst").filter("l1 = l2").select("src", "dst"))

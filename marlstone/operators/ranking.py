@@ -127,3 +127,22 @@ def detail_levels(costs: list[tuple[int, int, int]], max_tokens: int) -> list[in
         if levels[i] == 1 and used - costs[i][1] + costs[i][2] <= budget:
             levels[i], used = 2, used - costs[i][1] + costs[i][2]
     return levels
+
+
+def explain(files: DataFrame, scores: DataFrame, symbols: DataFrame, tokens: int) -> DataFrame:
+    """(path, score, symbols, level, parse_confidence, omitted): each file under a budget of its own, so others don't use it up.
+
+    Levels: -1 omitted, 0 header, 1 summary, 2 all symbols; ``omitted`` says what the budget left out.
+    """
+    budget = tokens * 4
+    cost = F.sum(32 + F.octet_length("name") + F.octet_length("kind") + F.octet_length("signature"))
+    sized = files.select("path", "language").join(scores, "path").join(symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n"), cost.alias("full")), "path", "left")
+    header, n = F.octet_length("path") + 30, F.coalesce("n", F.lit(0)).cast("long")
+    level = F.when(F.lit(tokens > 0) & (header > budget * 70 // 100), -1).when((n == 0) | F.lit(tokens > 0) & (header + n * 20 > budget), 0).when(F.lit(tokens > 0) & (header + F.col("full") > budget), 1).otherwise(2)
+    omitted = (
+        F.when(n == 0, "no symbol evidence was available for this file")
+        .when(F.col("level") < 0, "omitted: token budget could not fit the file header")
+        .when(F.col("level") == 0, "header only: token budget did not fit symbol detail")
+        .when(F.col("level") == 1, "summary only: token budget did not fit full symbols")
+    )
+    return sized.withColumn("level", level).select("path", "score", n.alias("symbols"), "level", F.when(F.col("language") == "go", "confirmed").alias("parse_confidence"), omitted.alias("omitted"))

@@ -84,20 +84,55 @@ def symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.groupBy("dst").agg(F.count(F.lit(1)).alias("users")).select(F.col("dst").alias("path"), F.least(F.lit(24), 2 * F.col("users")).cast("long").alias("bonus"))
 
 
-def _trade(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from a supplier to the next one of the same order."""
     from pyspark.sql import Window
 
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    if days is not None:
-        orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-        first = orders.agg(F.min("o_orderdate").alias("first"))
-        recent = orders.crossJoin(F.broadcast(first)).filter(F.col("o_orderdate") < F.col("first") + F.expr(f"INTERVAL {days} DAYS")).select(F.col("o_orderkey").alias("l_orderkey"))
-        lines = lines.join(recent, "l_orderkey", "left_semi")
     nxt = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return lines.select(F.col("l_suppkey").alias("src"), nxt.alias("dst")).filter("dst is not null")
 
 
+def _file_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct edges from a calling file to the file that declares what it calls."""
+    return materialize(graphs.distinct_edges(_calls(spark, sf_dir).filter("src <> dst")))
+
+
+def call_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong component of every file of the call graph."""
+    return graphs.strong_components(_file_calls(spark, sf_dir))
+
+
+def call_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the call graph that hold a cycle."""
+    edges = _file_calls(spark, sf_dir)
+    return graphs.cycles(edges, graphs.strong_components(edges))
+
+
+def call_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 files with most neighbours in the call graph."""
+    return graphs.hubs(_file_calls(spark, sf_dir))
+
+
+def duplicate_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of Go functions that occur in more than one place of the capture, whatever their packages."""
+    found = duplicates.repeated_bodies(duplicates.go_bodies(adapters.files(spark, sf_dir)), ["kind"])
+    return found.select("kind", "sites", F.concat_ws(" ", "shown").alias("shown"))
+
+
+def symbol_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that ``kind:function:file:src/:fold`` finds, by grade."""
+    return declarations.find(_symbols(spark, sf_dir), "kind:Function:file:src/:fold").select("path", "line", "name", "kind", "score")
+
+
+def canonical_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol with its place in canonical order within its file."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("line", "name", "kind"))
+    return _symbols(spark, sf_dir).select("path", "line", "name", "kind", nth.alias("ordinal"))
+
+
 def graph_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw and distinct edges of the call graph and the trade graph."""
     both = _calls(spark, sf_dir).select(F.lit("calls").alias("kind"), "src", "dst").unionByName(_trade(spark, sf_dir).select(F.lit("trades").alias("kind"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))
@@ -120,11 +155,6 @@ def _importers(edges: DataFrame) -> DataFrame:
 
 
 def importer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of the number of distinct sources of every node of the first week's trade graph."""
-    return _importers(_trade(spark, sf_dir, 7))
-
-
-def importer_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of the number of distinct sources of every node of the trade graph."""
     return _importers(_trade(spark, sf_dir))
 
@@ -140,34 +170,17 @@ def pagerank_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strong component of every node of the first week's trade graph."""
-    return graphs.strong_components(_trade(spark, sf_dir, 7))
-
-
-def strong_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strong component of every node of the trade graph."""
     return graphs.strong_components(_trade(spark, sf_dir))
 
 
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the first week's trade graph that hold a cycle."""
-    edges = _trade(spark, sf_dir, 7)
-    return graphs.cycles(edges, graphs.strong_components(edges))
-
-
-def graph_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the trade graph that hold a cycle."""
     edges = materialize(graphs.distinct_edges(_trade(spark, sf_dir)))
     return graphs.cycles(edges, graphs.strong_components(edges))
 
 
 def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the first week's trade graph that its smallest source reaches, with the fewest steps."""
-    edges = _trade(spark, sf_dir, 7)
-    return graphs.reachable(edges, edges.agg(F.min("src").alias("node")))
-
-
-def reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trade graph that its smallest source reaches, with the fewest steps."""
     edges = materialize(graphs.distinct_edges(_trade(spark, sf_dir)))
     return graphs.reachable(edges, edges.agg(F.min("src").alias("node")))
@@ -185,7 +198,7 @@ QUERIES = {
     for q in (
         symbol_kinds, find_symbol, call_edges, callers, orphan_symbols, dead_symbols, repeated_declarations, symbol_references,
         graph_kinds, graph_degrees, graph_hubs, importer_scores, pagerank_bonus, strong_components, graph_cycles, reach, suffix_matches,
-        importer_scores_whole, strong_components_whole, graph_cycles_whole, reach_whole,
+        call_components, call_cycles, call_hubs, duplicate_bodies, symbol_query, canonical_symbols,
     )
 }
 
@@ -203,16 +216,27 @@ _SEEN = r"w AS (SELECT unnest(regexp_extract_all(raw, '[A-Za-z_]\w*')) AS name,
 _SEEN += f", n AS (SELECT name, count_if{_TEST} AS test, count_if(NOT {_TEST}) AS other FROM w GROUP BY name)"
 
 
-def _trade_sql(days: int | None = None) -> str:
-    where = "" if days is None else f" WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT min(o_orderdate) FROM orders) + INTERVAL {days} DAY)"
-    return f"t0 AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem{where}), t AS (SELECT * FROM t0 WHERE dst IS NOT NULL)"
+def _trade_sql() -> str:
+    return "t0 AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem), t AS (SELECT * FROM t0 WHERE dst IS NOT NULL)"
 
 
-_SCC = f"""{_trade_sql(7)}, d AS (SELECT DISTINCT src, dst FROM t), v AS (SELECT src AS node FROM d UNION SELECT dst FROM d),
+_COMPONENTS = """d AS (SELECT DISTINCT src, dst FROM t), v AS (SELECT src AS node FROM d UNION SELECT dst FROM d),
 r(a, b) AS (SELECT node, node FROM v UNION SELECT r.a, d.dst FROM r JOIN d ON d.src = r.b),
 k AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+_SCC = f"{_trade_sql()}, {_COMPONENTS}"
+_CALL_GRAPH = f"{_CALLS}, t AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst)"
+_CYCLES = "o AS (SELECT DISTINCT src AS node, 1 AS loop FROM t WHERE src = dst) SELECT component, count(*)::BIGINT AS nodes FROM k LEFT JOIN o USING (node) GROUP BY component HAVING count(*) > 1 OR max(loop) = 1"
 _DEG = "g AS (SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM (SELECT src AS node, 0 AS i, 1 AS o FROM (SELECT DISTINCT src, dst FROM t) UNION ALL SELECT dst, 1, 0 FROM (SELECT DISTINCT src, dst FROM t)) GROUP BY node)"
 ORACLES = {
+    "call_components": f"WITH RECURSIVE {_CALL_GRAPH}, {_COMPONENTS} SELECT node, component FROM k",
+    "call_cycles": f"WITH RECURSIVE {_CALL_GRAPH}, {_COMPONENTS}, {_CYCLES}",
+    "call_hubs": f"WITH {_CALL_GRAPH}, {_DEG} SELECT *, in_degree + out_degree AS degree FROM g ORDER BY degree DESC, node LIMIT 25",
+    "duplicate_bodies": rf"""WITH {FILES}, g AS (SELECT path, content, unnest(regexp_extract_all(content, '(?m)^func [^\n]*\{{\n(?:[^}}\n][^\n]*\n|\n)*\}}')) AS src FROM f WHERE language = 'go' AND NOT generated AND path NOT LIKE '%\_test.go' ESCAPE '\'),
+b AS (SELECT path, len(string_split(content[1:strpos(content, src) - 1], chr(10)))::INT AS line, CASE WHEN starts_with(src, 'func (') THEN 'method' ELSE 'function' END AS kind, list_filter(list_transform(string_split(src[strpos(src, chr(10)) + 1:], chr(10)), lambda x: regexp_replace(trim(x, ' ' || chr(9) || chr(13)), '[ \t]+', ' ', 'g')), lambda x: x <> '') AS lines, src FROM g),
+k AS (SELECT path, line, kind, array_to_string(lines, chr(10)) AS body FROM b WHERE len(string_split(src, chr(10))) >= 10 AND len(regexp_extract_all(src, '(?m)^\t[^\t}}\r\n]')) >= 5)
+SELECT kind, count(*)::BIGINT AS sites, string_agg(site, ' ' ORDER BY site) FILTER (WHERE rn <= 4) AS shown FROM (SELECT *, path || ':' || line AS site, row_number() OVER (PARTITION BY kind, body ORDER BY path, line) AS rn FROM k) GROUP BY kind, body HAVING count(*) >= 2""",
+    "symbol_query": f"WITH {SYMBOLS}, g AS (SELECT path, line, name, kind, CASE WHEN name = 'fold' THEN 100 WHEN lower(name) = 'fold' THEN 75 WHEN name LIKE 'fold%' THEN 50 WHEN lower(name) LIKE '%fold%' THEN 25 ELSE 0 END AS score FROM s WHERE kind = 'function' AND contains(path, 'src/')) SELECT * FROM g WHERE score > 0",
+    "canonical_symbols": f"WITH {SYMBOLS} SELECT path, line, name, kind, row_number() OVER (PARTITION BY path ORDER BY line, name, kind)::INT AS ordinal FROM s",
     "symbol_kinds": f"WITH {SYMBOLS} SELECT language, kind, count(*)::BIGINT AS symbols, count_if(exported)::BIGINT AS exported FROM s GROUP BY language, kind",
     "find_symbol": f"WITH {SYMBOLS}, g AS (SELECT path, line, name, kind, CASE WHEN name = 'fold' THEN 100 WHEN lower(name) = 'fold' THEN 75 WHEN name LIKE 'fold%' THEN 50 WHEN lower(name) LIKE '%fold%' THEN 25 ELSE 0 END AS score FROM s) SELECT * FROM g WHERE score > 0",
     "call_edges": f"WITH {_CALLS} SELECT src, dst, symbol, line FROM e",
@@ -224,9 +248,9 @@ ORACLES = {
     "graph_kinds": f"WITH {_CALLS}, {_trade_sql()}, b AS (SELECT 'calls' AS kind, src, dst FROM e UNION ALL SELECT 'trades', src::VARCHAR, dst::VARCHAR FROM t) SELECT kind, count(*)::BIGINT AS edges, count(DISTINCT (src, dst))::BIGINT AS pairs FROM b GROUP BY kind",
     "graph_degrees": f"WITH {_trade_sql()}, {_DEG} SELECT * FROM g",
     "graph_hubs": f"WITH {_trade_sql()}, {_DEG} SELECT *, in_degree + out_degree AS degree FROM g ORDER BY degree DESC, node LIMIT 25",
-    "importer_scores": f"WITH {_trade_sql(7)}, n AS (SELECT dst AS node, count(DISTINCT src)::BIGINT AS importers FROM t GROUP BY dst) SELECT node, importers, (CASE WHEN importers <= 8 THEN importers * 10 ELSE 80 + importers - 8 END)::BIGINT AS score FROM n",
+    "importer_scores": f"WITH {_trade_sql()}, n AS (SELECT dst AS node, count(DISTINCT src)::BIGINT AS importers FROM t GROUP BY dst) SELECT node, importers, (CASE WHEN importers <= 8 THEN importers * 10 ELSE 80 + importers - 8 END)::BIGINT AS score FROM n",
     "strong_components": f"WITH RECURSIVE {_SCC} SELECT node, component FROM k",
-    "graph_cycles": f"WITH RECURSIVE {_SCC}, o AS (SELECT DISTINCT src AS node, 1 AS loop FROM t WHERE src = dst) SELECT component, count(*)::BIGINT AS nodes FROM k LEFT JOIN o USING (node) GROUP BY component HAVING count(*) > 1 OR max(loop) = 1",
-    "reach": f"WITH RECURSIVE {_trade_sql(7)}, d AS (SELECT DISTINCT src, dst FROM t), r(node, steps) AS (SELECT min(src), 0 FROM d UNION SELECT d.dst, r.steps + 1 FROM r JOIN d ON d.src = r.node WHERE r.steps < 200) SELECT node, min(steps)::INT AS steps FROM r GROUP BY node",
+    "graph_cycles": f"WITH RECURSIVE {_SCC}, {_CYCLES}",
+    "reach": f"WITH RECURSIVE {_trade_sql()}, d AS (SELECT DISTINCT src, dst FROM t), r(node, steps) AS (SELECT min(src), 0 FROM d UNION SELECT d.dst, r.steps + 1 FROM r JOIN d ON d.src = r.node WHERE r.steps < 200) SELECT node, min(steps)::INT AS steps FROM r GROUP BY node",
     "suffix_matches": r"WITH n AS (SELECT DISTINCT regexp_replace(replace(x, '\', '/'), '^(\./)+', '') AS name FROM (SELECT first_file_name AS x FROM clone_pairs UNION ALL SELECT second_file_name FROM clone_pairs) WHERE x IS NOT NULL) SELECT name, arg_max(path, strlen(path)) AS target FROM n JOIN source_files ON name = path OR ends_with(name, '/' || path) GROUP BY name",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
-from marlstone.operators import declarations, imports, ranking, retrieval
+from marlstone.operators import declarations, imports, ranking, retrieval, tasks
 from marlstone.plans.code_graph import SYMBOLS
 from marlstone.plans.scans import IMPORTS
 from marlstone.session import load, materialize
@@ -15,9 +15,8 @@ from marlstone.sources import adapters
 INTENT = "scan the handler tokens and fold each ledgerBudget"
 
 
-def _queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    request = F.col("passage") if whole else F.split("passage", r"\. ", 2)[0]
-    return load(spark, sf_dir, "eval_cases").select(F.col("case_id").alias("query"), request.alias("request"))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "eval_cases").select(F.col("case_id").alias("query"), F.col("passage").alias("request"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,18 +33,20 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.join(sentences(_documents(spark, sf_dir), "doc", "text"), "s").select("query", "doc").distinct()
 
 
-def _ranked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return retrieval.bm25(_documents(spark, sf_dir), "doc", "text", _queries(spark, sf_dir, whole), "query", "request")
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.bm25(_documents(spark, sf_dir), "doc", "text", _queries(spark, sf_dir), "query", "request")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty best documents of the first sentence of every held-out passage."""
+    """The twenty best documents of every held-out passage."""
     return _ranked(spark, sf_dir)
 
 
-def bm25_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty best documents of every held-out passage."""
-    return _ranked(spark, sf_dir, True)
+def file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best files of every request, by content and path."""
+    docs = load(spark, sf_dir, "source_files").filter("content is not null").select(F.col("path").alias("doc"), F.concat_ws(" ", "content", F.translate("path", "/", " ")).alias("text"))
+    asked = load(spark, sf_dir, "eval_cases").select(F.col("case_id").alias("query"), "request")
+    return retrieval.bm25(docs, "doc", "text", asked, "query", "request")
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,28 +54,18 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.metrics(_ranked(spark, sf_dir), _gold(spark, sf_dir))
 
 
-def retrieval_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall, reciprocal rank and NDCG of every whole passage with gold."""
-    return retrieval.metrics(_ranked(spark, sf_dir, True), _gold(spark, sf_dir))
-
-
 def mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the metrics."""
     return _means(retrieval_metrics(spark, sf_dir))
 
 
-def mean_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of the metrics of whole passages."""
-    return _means(retrieval_metrics_whole(spark, sf_dir))
-
-
 def _means(m: DataFrame) -> DataFrame:
     return m.agg(F.count(F.lit(1)).alias("cases"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in m.columns if c != "query"])
 
 
-def _costs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = _documents(spark, sf_dir).select("doc", text.token_estimate(F.col("text")).alias("tokens"))
-    return retrieval.first_relevant_cost(_ranked(spark, sf_dir, whole), _gold(spark, sf_dir), cost)
+    return retrieval.first_relevant_cost(_ranked(spark, sf_dir), _gold(spark, sf_dir), cost)
 
 
 def first_relevant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,21 +73,11 @@ def first_relevant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _costs(spark, sf_dir)
 
 
-def first_relevant_tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens read before the first relevant document of a whole passage."""
-    return _costs(spark, sf_dir, True)
-
-
 def recall_at_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of requests answered within each budget."""
     return retrieval.recall_at_budgets(_costs(spark, sf_dir))
 
 
-def recall_at_budget_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of whole passages answered within each budget."""
-    return retrieval.recall_at_budgets(_costs(spark, sf_dir, True))
-
-
 def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out cases per classification, and whether there are enough of them to judge."""
     n = load(spark, sf_dir, "eval_cases").groupBy("classification").agg(F.count(F.lit(1)).alias("cases"), F.count_distinct("category").alias("categories"))
@@ -120,12 +101,32 @@ def rank_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir)[1]
 
 
+def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, score) of every file, without a request."""
+    return materialize(ranking.ranked(*_parts(spark, sf_dir)))
+
+
 def file_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by score for a request."""
     files, parts = _parts(spark, sf_dir, INTENT)
     return ranking.ranked(files, parts).orderBy(F.desc("score"), "path")
 
 
+def goal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in the order of a goal: those with evidence by relevance, then the rest by rank."""
+    from marlstone.plans.structure import evidence_of
+
+    files, parts = _parts(spark, sf_dir)
+    return tasks.order_for_goal(ranking.ranked(files, parts), evidence_of(spark, sf_dir, INTENT))
+
+
+def explain_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, symbols, detail level and what is left out of every file under a budget of 256 tokens for each."""
+    files, parts = _parts(spark, sf_dir)
+    symbols = declarations.symbols(adapters.source_lines(adapters.files(spark, sf_dir)))
+    return ranking.explain(files, ranking.ranked(files, parts), symbols, 256)
+
+
 def rank_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of each confidence tier per file."""
     return _parts(spark, sf_dir)[1].groupBy("path", ranking.tier(F.col("component")).alias("tier")).agg(F.sum("points").cast("long").alias("points"))
@@ -151,9 +152,9 @@ def file_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("path", "users", level.alias("risk"))
 
 
-QUERIES = {q.__name__: q for q in (bm25_topk, retrieval_metrics, mean_metrics, first_relevant_tokens, recall_at_budget, eval_gate, rank_components, file_rank, rank_tiers, header_cutoff, file_impact, bm25_topk_whole, retrieval_metrics_whole, mean_metrics_whole, first_relevant_tokens_whole, recall_at_budget_whole)}
+QUERIES = {q.__name__: q for q in (bm25_topk, retrieval_metrics, mean_metrics, first_relevant_tokens, recall_at_budget, eval_gate, rank_components, file_rank, rank_tiers, header_cutoff, file_impact, file_search, goal_order, explain_files)}
 
-_BM = r"""q AS (SELECT case_id AS query, split_part(passage, '. ', 1) AS request FROM eval_cases),
+_BM = r"""q AS (SELECT case_id AS query, passage AS request FROM eval_cases),
 qt AS (SELECT query, term, count(*) AS qtf FROM (SELECT query, unnest(regexp_extract_all(lower(request), '[a-z0-9_]+')) AS term FROM q) GROUP BY query, term),
 dt AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),
 ln AS (SELECT doc_id AS doc, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS length FROM documents),
@@ -189,7 +190,14 @@ parts AS (SELECT * FROM (
  UNION ALL SELECT dst, 'callers', least(20, max(score))::BIGINT FROM cc GROUP BY dst
  UNION ALL SELECT path, 'tests', 4 FROM f WHERE path NOT LIKE '%\_test.go' ESCAPE '\' AND regexp_replace(path, '/?[^/]*$', '') IN (SELECT regexp_replace(path, '/?[^/]*$', '') FROM f WHERE path LIKE '%\_test.go' ESCAPE '\')
  UNION ALL SELECT f.path, 'imports', CASE WHEN importers <= 8 THEN 10 * importers ELSE 72 + importers END FROM f JOIN imp ON f.language = 'go' AND regexp_replace(f.path, '/?[^/]*$', '') = imp.folder) WHERE points <> 0)"""
+_FILE_BM = "documents AS (SELECT path AS doc_id, concat_ws(' ', content, replace(path, '/', ' ')) AS text FROM source_files WHERE content IS NOT NULL), " + _BM.replace("passage AS request", "request")
+_EXPLAIN = rf"""{_COMPONENTS}, rk AS (SELECT f.path, f.language, coalesce(sum(points), 0)::BIGINT AS score FROM f LEFT JOIN parts USING (path) GROUP BY f.path, f.language),
+ct AS (SELECT path, count(*) AS n, sum(32 + strlen(name) + strlen(kind) + strlen(signature)) AS full FROM s GROUP BY path),
+ex AS (SELECT rk.path, score, coalesce(n, 0)::BIGINT AS symbols, strlen(rk.path) + 30 AS header, n * 20 AS summary, "full", rk.language FROM rk LEFT JOIN ct USING (path)),
+lv AS (SELECT *, CASE WHEN header > 716 THEN -1 WHEN symbols = 0 OR header + summary > 1024 THEN 0 WHEN header + "full" > 1024 THEN 1 ELSE 2 END AS level FROM ex)"""
 ORACLES = {
+    "file_search": f"WITH {_FILE_BM} SELECT query, rank, doc, score FROM top",
+    "explain_files": f"WITH {_EXPLAIN} SELECT path, score, symbols, level, CASE WHEN language = 'go' THEN 'confirmed' END AS parse_confidence, CASE WHEN symbols = 0 THEN 'no symbol evidence was available for this file' WHEN level < 0 THEN 'omitted: token budget could not fit the file header' WHEN level = 0 THEN 'header only: token budget did not fit symbol detail' WHEN level = 1 THEN 'summary only: token budget did not fit full symbols' END AS omitted FROM lv",
     "bm25_topk": f"WITH {_BM} SELECT query, rank, doc, score FROM top",
     "retrieval_metrics": f"WITH {_METRICS} SELECT * FROM m",
     "mean_metrics": f"WITH {_METRICS} SELECT count(*)::BIGINT AS cases, {', '.join(f'coalesce(avg({c}), 0.0)::DOUBLE AS {c}' for c in ('recall_at_1', 'recall_at_5', 'recall_at_10', 'recall_at_20', 'mrr', 'ndcg_at_10'))} FROM m",
@@ -201,5 +209,8 @@ ORACLES = {
     "header_cutoff": f"WITH {_COMPONENTS}, r AS (SELECT f.path, coalesce(sum(points), 0) AS score FROM f LEFT JOIN parts USING (path) GROUP BY f.path), w AS (SELECT path, row_number() OVER (ORDER BY score DESC, path)::INT AS position, sum(strlen(path) + 30) OVER (ORDER BY score DESC, path) AS cost FROM r) SELECT path, position FROM w WHERE cost <= 2867",
     "file_impact": rf"WITH {SYMBOLS}, {_USERS}, n AS (SELECT dst AS path, count(DISTINCT src)::BIGINT AS users FROM e GROUP BY dst) SELECT path, users, CASE WHEN users > 10 THEN 'high' WHEN users > 3 OR (path IN (SELECT path FROM s WHERE exported) AND path NOT IN (SELECT regexp_replace(path, '_test\.go$', '.go') FROM f WHERE path LIKE '%\_test.go' ESCAPE '\')) THEN 'medium' ELSE 'low' END AS risk FROM n",
 }
-#: The same SQL with the whole passage as the request.
-ORACLES |= {f"{name}_whole": ORACLES[name].replace("split_part(passage, '. ', 1)", "passage") for name in ("bm25_topk", "retrieval_metrics", "mean_metrics", "first_relevant_tokens", "recall_at_budget")}
+
+# the candidates are ordered by the ranking, so their SQL stands on its own
+from marlstone.plans import structure as _structure  # noqa: E402
+
+_structure.ORACLES["task_candidates"] = _structure.candidates_sql(_COMPONENTS.replace("ex AS", "ex_ AS"))

@@ -11,6 +11,7 @@ from marlstone.plans import code_graph, files, retrieval, scans, structure
 from marlstone.session import scratch
 
 _LONG = "\n".join(f"// line {i} of a file that is long enough to count as a copy of another one" for i in range(70)) + "\n"
+_STEPS = "".join(f"\tv{i} := step{i}(x)\n\tuse(v{i})\n" for i in range(5))
 FILES = {
     "cmd/tool/main.go": """package main
 
@@ -55,6 +56,7 @@ func Open(path string) *sql.DB {
 }
 
 func Transfer(fromAccount string, toAccount string, amountInCents int64, currencyCode string, note string) error {
+	NotifyAll(note)
 	return nil
 }
 """,
@@ -73,6 +75,9 @@ func ListItems(w http.ResponseWriter, r *http.Request) {
 	store.Transfer(string(body), string(limited), 1, "EUR", "")
 }
 
+func NotifyAll(note string) {
+}
+
 func mount(r Router) {
 	r.Get("/items/{id}", ListItems)
 	r.Post("/items", func(w http.ResponseWriter, r *http.Request) {})
@@ -80,6 +85,8 @@ func mount(r Router) {
 }
 """,
     "internal/auth/token_handler.go": 'package auth\n\nimport "example.org/tool/internal/store"\n\nvar api_key = "k-1"\n\nfunc Check() { store.Open("") }\n',
+    "pkg/a/steps.go": "package a\n\nfunc First(x int) {\n" + _STEPS + "}\n\nfunc (t *T) Third(x int) {\n" + _STEPS + "}\n",
+    "pkg/b/steps.go": "package b\r\n\nfunc Second(x int)  {\n\n" + _STEPS.replace("(x)", "(x)  ") + "}\n",
     "web/router.ts": "import { Route, match } from './route';\nimport './style.css';\nexport function routerStart() {\n  return match(new Route());\n}\n",
     "web/route.ts": "export class Route {}\nexport function matchRoute() {}\nexport const match = matchRoute;\n",
     "web/legacy/entry.js": "const r = require('../router');\nexport * from \"../route\";\nr.routerStart();\n",
@@ -101,7 +108,7 @@ func mount(r Router) {
 }
 NAMES = {
     "import_edges": scans, "importers": scans, "risk_structure": scans, "risk_components": scans, "effects_by_kind": scans, "effects_by_file": scans, "surface_counts": scans,
-    "inventory_owners": scans, "secret_files": scans, "rank_components": retrieval, "duplicate_files": files, "path_guards": structure, "symbol_references": code_graph, "call_edges": code_graph,
+    "inventory_owners": scans, "secret_files": scans, "rank_components": retrieval, "duplicate_files": files, "path_guards": structure, "symbol_references": code_graph, "call_edges": code_graph, "call_cycles": code_graph, "duplicate_bodies": code_graph,
 }
 
 _COLUMNS = {

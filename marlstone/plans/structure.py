@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import paths, text
-from marlstone.operators import declarations, diffs, guards, linescan, pipelines, resolution, tasks
+from marlstone.operators import declarations, diffs, guards, imports, linescan, pipelines, resolution, tasks
 from marlstone.plans.code_graph import SYMBOLS
 from marlstone.plans.files import _DIR, FILES, _split_sql
 from marlstone.plans.scans import LINES
-from marlstone.session import load
+from marlstone.session import load, materialize
 from marlstone.sources import adapters, writers
 
 #: A catalogue of custom rules as a user would give it: (id, pattern, weight, most, include, exclude).
@@ -75,11 +75,33 @@ def custom_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", total.cast("long")).filter("score > 0").select("path", "score")
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _evidence(spark: SparkSession, sf_dir: str, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evidence with owners, named symbols) of requests (key, request)."""
     files = adapters.files(spark, sf_dir)
-    symbols = declarations.symbols(adapters.source_lines(files))
-    terms = tasks.goal_terms(load(spark, sf_dir, "eval_cases"), "case_id", "request")
-    return tasks.candidates(terms, tasks.evidence_parts(files, symbols), REQUESTS_TOP)
+    lines = adapters.source_lines(files)
+    symbols = materialize(declarations.symbols(lines).select("path", "line", "name", "signature"))
+    edges = imports.import_edges(files)
+    hit = materialize(tasks.evidence(tasks.goal_terms(requests, "key", "request"), tasks.evidence_parts(files, symbols, edges)))
+    slim = files.select("path", "language")
+    folders = slim.select(F.col("path").alias("seed"), paths.directory(F.col("path")).alias("folder"))
+    importing = imports.internal_imports(edges, slim).join(folders, "folder").select("path", "seed")
+    calling = declarations.call_edges(symbols, declarations.calls(lines)).filter("src <> dst").select(F.col("src").alias("path"), F.col("dst").alias("seed"))
+    named = tasks.goal_identifiers(requests, "key", "request").join(symbols.select("path", F.lower("name").alias("name")).distinct(), "name").groupBy("key", "path").agg(F.count(F.lit(1)).alias("exact"))
+    return tasks.with_owners(hit, importing, calling), named
+
+
+def evidence_of(spark: SparkSession, sf_dir: str, goal: str) -> DataFrame:
+    """(path, exact, relevance) of the files with evidence for one goal, owners among them."""
+    hit, named = _evidence(spark, sf_dir, spark.createDataFrame([("goal", goal)], "key string, request string"))
+    return hit.join(named, ["key", "path"], "left").select("path", F.coalesce("exact", F.lit(0)).alias("exact"), "relevance")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.plans.retrieval import rank_scores
+
+    requests = load(spark, sf_dir, "eval_cases").select(F.col("case_id").alias("key"), "request")
+    hit, named = _evidence(spark, sf_dir, requests)
+    return tasks.candidates(hit, named, rank_scores(spark, sf_dir), requests, REQUESTS_TOP)
 
 
 def task_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,15 +159,33 @@ SELECT path, line, name FROM sp WHERE EXISTS (SELECT 1 FROM h WHERE h.path = sp.
 b AS (SELECT path, line, module, trim(unnest(string_split(names, ','))) AS symbol FROM b0),
 k AS (SELECT b.*, count(*) OVER (PARTITION BY path, symbol) AS n_bound, (SELECT count(DISTINCT s.path) FROM s WHERE s.name = b.symbol AND starts_with(b.module, './') AND regexp_replace(regexp_replace(s.path, '\.(tsx?|jsx?|mjs|cjs)$', ''), '/index$', '') = regexp_replace(b.path, '[^/]*$', '') || substr(b.module, 3) AND regexp_matches(s.path, '\.(tsx?|jsx?|mjs|cjs)$')) AS hits FROM b)
 SELECT CASE WHEN n_bound > 1 THEN 'ambiguous_binding' WHEN hits = 0 THEN 'unresolved_target' WHEN hits > 1 THEN 'ambiguous_binding' ELSE 'resolved' END AS outcome, count(*)::BIGINT AS imports, count(DISTINCT module)::BIGINT AS modules FROM k GROUP BY 1""",
-    "task_candidates": rf"""WITH {SYMBOLS}, w AS (SELECT case_id, unnest(regexp_extract_all(request, '[\p{{L}}\p{{Nd}}]+')) AS w FROM eval_cases), g0 AS (SELECT case_id, unnest({_split_sql("w")}) AS term FROM w),
-g AS (SELECT DISTINCT case_id, term FROM g0 WHERE length(term) >= 2 AND term NOT IN ('the', 'and', 'for', 'with', 'into', 'that', 'this', 'from', 'add', 'fix')),
-sg AS (SELECT path, unnest(string_split(path, '/')) AS seg FROM f), st AS (SELECT path, regexp_replace(seg, '\.[^.]*$', '') AS stem FROM sg WHERE seg NOT IN ('', '.', '..')),
-pt AS (SELECT path, 'path' AS field, path AS value, unnest({_split_sql("stem")}) AS part FROM st WHERE stem <> '' UNION SELECT path, 'symbol', name, unnest({_split_sql("name")}) FROM s UNION SELECT path, 'signature', signature, unnest(regexp_extract_all(lower(signature), '[\p{{L}}\p{{Nd}}]+')) FROM s),
-m AS (SELECT term, part, max(CASE WHEN replace(term, '_', '') = replace(part, '_', '') THEN 1 ELSE 0 END) AS exact FROM (SELECT DISTINCT term FROM g), (SELECT DISTINCT part FROM pt) WHERE replace(term, '_', '') = replace(part, '_', '') OR {_PREFIX} GROUP BY term, part),
-x AS (SELECT path, field, value, term, max(exact) AS exact FROM pt JOIN m USING (part) GROUP BY ALL),
-h AS (SELECT case_id, path, sum(CASE WHEN exact = 1 THEN CASE field WHEN 'signature' THEN 4 ELSE 8 END ELSE CASE field WHEN 'signature' THEN 2 ELSE 4 END END)::BIGINT AS relevance, count(DISTINCT term)::BIGINT AS terms FROM g JOIN x USING (term) GROUP BY case_id, path),
-r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, path)::INT AS rank FROM h) SELECT case_id, rank, path, relevance, terms, CASE WHEN relevance >= 16 THEN 'high' WHEN relevance >= 8 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE rank <= 96""",
     "packed_texts": "SELECT count(*)::BIGINT AS copies, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1",
     "path_guards": r"WITH p AS (SELECT path FROM source_files UNION SELECT path FROM report_rows UNION SELECT path FROM evidence), b AS (SELECT path, string_split(path, '/') AS g, regexp_extract(path, '[^/]*$') AS n FROM p WHERE path IS NOT NULL) SELECT path, 'private-work-directory' AS rule FROM b WHERE list_contains(g, '.work') UNION ALL SELECT path, 'private-claude-directory' FROM b WHERE list_contains(g, '.claude') UNION ALL SELECT path, 'environment-file' FROM b WHERE n = '.env' OR (starts_with(n, '.env.') AND n NOT IN ('.env.example', '.env.sample', '.env.template')) UNION ALL SELECT path, 'browser-auth-state' FROM b WHERE n = 'auth-state.json' OR ends_with(n, '-auth-state.json') UNION ALL SELECT path, 'browser-cookie-file' FROM b WHERE n IN ('cookies.txt', 'cookies.json') OR ends_with(n, '.cookies.txt') UNION ALL SELECT path, 'browser-agent-state-directory' FROM b WHERE list_contains(g, '.agent-browser-state')",
     "case_validation": "SELECT ((coalesce(trim(case_id), '') = '')::INT + (coalesce(trim(request), '') = '')::INT + (coalesce(token_budget, 0) <= 0)::INT + (coalesce(len(expected_paths), 0) = 0)::INT + (coalesce(classification, '') NOT IN ('lexical', 'non-lexical'))::INT + (len(list_filter(expected_paths, lambda p: starts_with(p, '/') OR contains(p, '..'))) > 0)::INT)::INT AS broken_rules, count(*)::BIGINT AS cases FROM eval_cases GROUP BY 1",
 }
+
+_BARE = r"regexp_matches(trim(request), '^(?:[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\|->|\.)[A-Za-z_][A-Za-z0-9_]*)+|_[A-Za-z0-9_]*|[A-Za-z][A-Za-z0-9]*[A-Z_][A-Za-z0-9_]*|[A-Z][A-Za-z0-9]*)$')"
+
+
+def candidates_sql(components: str) -> str:
+    """SQL of ``task_candidates`` on top of that of the rank components (which holds f, l, s, im, ii, e and parts)."""
+    free = lambda t: f"list_transform(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{Nd}}]+'), lambda x: x)"
+    return rf"""WITH {components}, w AS (SELECT case_id, {_BARE} AS bare, unnest(regexp_extract_all(request, '[\p{{L}}\p{{Nd}}]+')) AS w FROM eval_cases), g0 AS (SELECT case_id, bare, unnest({_split_sql("w")}) AS term FROM w),
+g AS (SELECT DISTINCT case_id, bare, term FROM g0 WHERE length(term) >= 2 AND term NOT IN ('the', 'and', 'for', 'with', 'into', 'that', 'this', 'from', 'add', 'fix')),
+sg AS (SELECT path, unnest(string_split(path, '/')) AS seg FROM f), sm AS (SELECT path, regexp_replace(seg, '\.[^.]*$', '') AS stem FROM sg WHERE seg NOT IN ('', '.', '..')),
+pk AS (SELECT path, regexp_extract(content, '(?m)^package[ \t]+(\w+)', 1) AS pk FROM f WHERE language = 'go'),
+pt AS (SELECT path, 'path' AS field, path AS value, unnest({_split_sql("stem")}) AS part FROM sm WHERE stem <> '' UNION SELECT path, 'package', pk, unnest({_split_sql("pk")}) FROM pk WHERE pk <> ''
+ UNION SELECT path, 'import', '', unnest({free("module")}) FROM im UNION SELECT path, 'symbol', name, unnest({_split_sql("name")}) FROM s UNION SELECT path, 'signature', signature, unnest({free("signature")}) FROM s),
+m AS (SELECT term, part, max(CASE WHEN replace(term, '_', '') = replace(part, '_', '') THEN 1 ELSE 0 END) AS exact FROM (SELECT DISTINCT term FROM g), (SELECT DISTINCT part FROM pt) WHERE replace(term, '_', '') = replace(part, '_', '') OR {_PREFIX} GROUP BY term, part),
+x AS (SELECT path, field, value, term, max(exact) AS exact FROM pt JOIN m USING (part) GROUP BY ALL),
+wt AS (SELECT * FROM (VALUES ('path', 8, 4), ('package', 5, 5), ('import', 3, 3), ('symbol', 8, 12), ('signature', 4, 6)) v(field, plain, symbolic)),
+h AS (SELECT case_id, path, sum(CASE WHEN exact = 1 THEN CASE WHEN bare THEN symbolic ELSE plain END ELSE greatest(1, (CASE WHEN bare THEN symbolic ELSE plain END) // 2) END)::BIGINT AS relevance, count(DISTINCT term)::BIGINT AS terms FROM g JOIN x USING (term) JOIN wt USING (field) GROUP BY case_id, path),
+ow AS (SELECT ii.path, f.path AS seed, 6 AS credit FROM ii JOIN f ON regexp_replace(f.path, '/?[^/]*$', '') = ii.folder UNION SELECT src, dst, 4 FROM e WHERE src <> dst),
+o AS (SELECT case_id, ow.path, arg_min(credit, (seed, -credit))::BIGINT AS relevance, 0::BIGINT AS terms FROM h JOIN ow ON ow.seed = h.path WHERE ow.path <> ow.seed AND ow.path NOT LIKE '%\_test.go' ESCAPE '\' AND (case_id, ow.path) NOT IN (SELECT (case_id, path) FROM h) GROUP BY case_id, ow.path),
+sc AS (SELECT f.path, coalesce(sum(points), 0) AS score FROM f LEFT JOIN parts USING (path) GROUP BY f.path),
+id0 AS (SELECT case_id, {_BARE} AS bare, unnest(regexp_split_to_array(trim(request), '\s+')) AS word FROM eval_cases), id1 AS (SELECT case_id, bare, regexp_matches(word, '[`"'']') AS quoted, trim(word, '`"''(),;.!?:') AS request FROM id0),
+id AS (SELECT DISTINCT case_id, lower(request) AS name FROM id1 WHERE {_BARE} AND (bare OR quoted OR regexp_matches(request, '[_:.\\>-]') OR regexp_matches(substr(request, 2), '\p{{Lu}}')) AND lower(request) NOT IN ('the', 'and', 'for', 'with', 'into', 'that', 'this', 'from', 'add', 'fix')),
+ex AS (SELECT case_id, path, count(DISTINCT lower(s.name)) AS exact FROM id JOIN s ON lower(s.name) = id.name GROUP BY case_id, path),
+un AS (SELECT * FROM h UNION ALL SELECT * FROM o), fb AS (SELECT case_id, path, 0::BIGINT AS relevance, 0::BIGINT AS terms FROM eval_cases, f WHERE case_id NOT IN (SELECT case_id FROM h)),
+r AS (SELECT case_id, path, relevance, terms, row_number() OVER (PARTITION BY case_id ORDER BY coalesce(exact, 0) DESC, relevance DESC, score DESC, path)::INT AS rank FROM (SELECT * FROM un UNION ALL SELECT * FROM fb) JOIN sc USING (path) LEFT JOIN ex USING (case_id, path))
+SELECT case_id, rank, path, relevance, terms, CASE WHEN relevance >= 16 THEN 'high' WHEN relevance >= 8 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE rank <= 96"""

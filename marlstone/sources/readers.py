@@ -150,8 +150,10 @@ def instances(spark: SparkSession, path: str, repo: str | None = None, limit: in
 
 
 def eval_case_errors(cases: DataFrame) -> DataFrame:
-    """cases with ``errors``: the rules a held-out case breaks."""
-    repeated = F.lit(False)
+    """cases with ``errors``: the rules a held-out case breaks; of several with one id all are repeated."""
+    ids = cases.filter(F.col("case_id").isNotNull()).groupBy(F.col("case_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    cases = cases.join(ids, F.col("case_id") == F.col("_id"), "left").drop("_id")
+    repeated = F.col("_n") > 1
     checks = [
         F.when(F.coalesce(F.trim("case_id"), F.lit("")) == "", "case id is empty"),
         F.when(F.coalesce(F.trim("request"), F.lit("")) == "", "request is empty"),
@@ -161,7 +163,7 @@ def eval_case_errors(cases: DataFrame) -> DataFrame:
         F.when(F.exists("expected_paths", lambda p: p.startswith("/") | p.contains("..")), "path leaves the repository"),
         F.when(repeated, "repeated"),
     ]
-    return cases.withColumn("errors", F.array_compact(F.array(*checks)))
+    return cases.withColumn("errors", F.array_compact(F.array(*checks))).drop("_n")
 
 
 def ledger(spark: SparkSession, path: str, schema: str, most_bytes: int = 1 << 20) -> DataFrame:

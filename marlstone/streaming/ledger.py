@@ -37,19 +37,24 @@ def store_once(target: str, message: tuple = (["report_id", "evidence_id"], "tim
     """A ``foreachBatch`` function that appends the batch's new messages to a parquet table.
 
     A batch is written to a folder named by its number, replaced if it comes
-    again, and probed against the batches before it, so a restart stores
-    nothing twice.
+    again, and probed against the keys of the batches before it, so a restart
+    stores nothing twice. The keys have a table of their own beside the target,
+    so stored rows are not read again. A target that can't be read raises; only
+    one that isn't there is empty.
     """
+    ids, timestamp = message[0], message[1]
+    keys = f"{target.rstrip('/')}_keys"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored_schema = T.StructType([*batch.schema.fields, T.StructField("batch_no", T.LongType())])  # add() would change the batch's own schema
-        try:
-            stored = spark.read.schema(stored_schema).parquet(target).filter(F.col("batch_no") < number).drop("batch_no")
-        except Exception:  # noqa: BLE001 - no batch is stored yet
-            stored = batch.limit(0)
+        columns = [*ids, timestamp]
+        kinds = T.StructType([*[batch.schema[c] for c in columns], T.StructField("batch_no", T.LongType())])
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(keys)
+        known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        stored = spark.read.schema(kinds).parquet(keys).filter(F.col("batch_no") < number).drop("batch_no") if known else batch.select(*columns).limit(0)
         fresh = delivery.admit(stored, batch, *message)
         fresh.write.mode("overwrite").parquet(f"{target}/batch_no={number}")
+        spark.read.schema(batch.schema).parquet(f"{target}/batch_no={number}").select(*columns).write.mode("overwrite").parquet(f"{keys}/batch_no={number}")
 
     return write
 

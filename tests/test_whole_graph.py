@@ -34,20 +34,20 @@ def test_importers_and_reach_of_every_order(spark, trades):
     for a, b in trades:
         sources[b].add(a)
     want = {b: (len(s), len(s) * 10 if len(s) <= 8 else 72 + len(s)) for b, s in sources.items()}
-    assert {r.node: (r.importers, r.score) for r in code_graph.importer_scores_whole(spark, SF).collect()} == want
-    assert {r.node: r.steps for r in code_graph.reach_whole(spark, SF).collect()} == _steps(set(trades), min(a for a, _ in trades))
+    assert {r.node: (r.importers, r.score) for r in code_graph.importer_scores(spark, SF).collect()} == want
+    assert {r.node: r.steps for r in code_graph.reach(spark, SF).collect()} == _steps(set(trades), min(a for a, _ in trades))
 
 
 def test_components_and_cycles_of_every_order(spark, trades):
     pairs = set(trades)
     to = {n: set(_steps(pairs, n)) for n in {x for p in pairs for x in p}}
     want = {n: min(m for m in to[n] if n in to[m]) for n in to}
-    assert {r.node: r.component for r in code_graph.strong_components_whole(spark, SF).collect()} == want
+    assert {r.node: r.component for r in code_graph.strong_components(spark, SF).collect()} == want
     size = defaultdict(int)
     for c in want.values():
         size[c] += 1
     cyclic = {c: n for c, n in size.items() if n > 1 or (c, c) in pairs}
-    assert {r.component: r.nodes for r in code_graph.graph_cycles_whole(spark, SF).collect()} == cyclic
+    assert {r.component: r.nodes for r in code_graph.graph_cycles(spark, SF).collect()} == cyclic
 
 
 def test_pagerank_weighs_every_order(spark, trades):
