@@ -84,3 +84,10 @@ def round2(column: Column) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """Quotient, 0 where the whole is 0."""
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+
+def shell_quoted(column: Column) -> Column:
+    """Text as one word of a POSIX shell: bare where it is safe, else in single quotes."""
+    quote = F.lit("'")
+    inner = F.replace(column, quote, F.lit("'\\''"))
+    return F.when(column.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$"), column).otherwise(F.concat(quote, inner, quote))

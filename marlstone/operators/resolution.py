@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import paths
 
+#: Endings of script files, in the order in which they are tried.
 SCRIPT_ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 
 
@@ -49,3 +50,11 @@ def resolve(bound: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame
     n = F.coalesce("n", F.lit(0))
     reason = F.when(F.col("bindings") > 1, "ambiguous_binding").when(n == 0, "unresolved_target").when(n > 1, "ambiguous_binding")
     return joined.select("path", "line", "symbol", "local", "module", F.when(reason.isNull(), F.col("target")).alias("target"), reason.alias("reason"))
+
+
+def reference_edges(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(src, dst, weight) of resolved imports between files: the root of their number over the root of the most definitions that one of their symbols has."""
+    defined = symbols.groupBy(F.col("name").alias("symbol")).agg(F.count(F.lit(1)).alias("definitions"))
+    found = resolved.filter(F.col("target").isNotNull() & (F.col("path") != F.col("target"))).join(defined, "symbol", "left")
+    pairs = found.groupBy(F.col("path").alias("src"), F.col("target").alias("dst")).agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("definitions", F.lit(0))).alias("most"))
+    return pairs.select("src", "dst", (F.sqrt(F.col("n").cast("double")) / F.sqrt(F.greatest(F.col("most"), F.lit(1)).cast("double"))).alias("weight"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
-from marlstone.operators import declarations, imports, ranking, retrieval, tasks
+from marlstone.operators import declarations, graphs, imports, ranking, resolution, retrieval, tasks
 from marlstone.plans.code_graph import SYMBOLS
 from marlstone.plans.scans import IMPORTS
 from marlstone.session import load, materialize
@@ -84,7 +84,7 @@ def eval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("enough", F.col("cases") >= 25)
 
 
-def _parts(spark: SparkSession, sf_dir: str, intent: str = "") -> tuple[DataFrame, DataFrame]:
+def _parts(spark: SparkSession, sf_dir: str, intent: str = "", reference: bool = False) -> tuple[DataFrame, DataFrame]:
     files = adapters.files(spark, sf_dir)
     lines = adapters.source_lines(files)
     symbols = materialize(declarations.symbols(lines).select("path", "line", "name", "kind", "exported"))
@@ -93,7 +93,11 @@ def _parts(spark: SparkSession, sf_dir: str, intent: str = "") -> tuple[DataFram
     slim = files.select("path", "language", "class")
     found = imports.import_edges(files.select("path", "language", "content"))
     imported = imports.imported_files(imports.internal_imports(found, slim), slim)
-    return slim, ranking.components(slim, symbols, callers, intent, imported)
+    bonus = None
+    if reference:
+        edges = materialize(resolution.reference_edges(resolution.resolve(resolution.bindings(lines), slim, symbols), symbols))
+        bonus = graphs.rank_bonus(edges, graphs.pagerank(edges))
+    return slim, ranking.components(slim, symbols, callers, intent, imported, reference=bonus)
 
 
 def rank_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +111,8 @@ def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files by score for a request."""
-    files, parts = _parts(spark, sf_dir, INTENT)
+    """Files by score for a request, with the ranks of the reference graph."""
+    files, parts = _parts(spark, sf_dir, INTENT, True)
     return ranking.ranked(files, parts).orderBy(F.desc("score"), "path")
 
 

@@ -179,6 +179,27 @@ def ledger(spark: SparkSession, path: str, schema: str, most_bytes: int = 1 << 2
     return lines.filter(F.trim("value") != "").select("file", "line", F.from_json("value", schema).alias("r"), error.alias("error")).select("file", "line", "r.*", "error")
 
 
+RUN = (
+    "schema string, timestamp timestamp, run_type string, repo_path string, repo_head string, strategy_id string, branch string, provider string, model string, fee_earned double, success boolean, outcome string, reason string, "
+    "dry_run boolean, lines_added int, lines_deleted int, net_line_reduction int, symbols_added int, symbols_deleted int, symbols_modified int, net_symbol_reduction int, structural_metrics boolean, changed_files array<string>, "
+    "baseline_coverage double, final_coverage double, already_sufficient boolean"
+)
+SAVINGS = "ts bigint, root string, goal string, targets int, packet_chars int, file_chars int"
+
+
+def run_history(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
+    """Recorded runs in file order with ``seq`` within their file; lines that are no record are left out, a repository selects its own."""
+    runs = ledger(spark, path, RUN).filter("error is null").drop("error").withColumnRenamed("line", "seq")
+    return runs.filter(F.col("repo_path") == repo) if repo is not None else runs
+
+
+def savings(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded packet sizes with the characters and tokens each saved against whole files; a saving below 0 counts as 0."""
+    rows = ledger(spark, path, SAVINGS).filter("error is null").drop("error")
+    saved = F.greatest(F.lit(0), F.coalesce("file_chars", F.lit(0)) - F.coalesce("packet_chars", F.lit(0)))
+    return rows.withColumn("saved_chars", saved).withColumn("saved_tokens", F.floor(saved / 4).cast("int"))
+
+
 def coverage_profile(spark: SparkSession, path: str, module: str = "") -> DataFrame:
     """Blocks of a coverage profile: file without the module, package, lines, statements, hits; lines of another form have ``error``."""
     pattern = r"^(.+):(\d+)\.(\d+),(\d+)\.(\d+) (\d+) (\d+)$"
