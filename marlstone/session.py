@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -123,7 +124,9 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
-    target = os.path.join(tempfile.mkdtemp(prefix="marlstone-"), "marlstone.zip")
+    place = tempfile.mkdtemp(prefix="marlstone-")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    target = os.path.join(place, "marlstone.zip")
     Path(target).write_bytes(packed.getvalue())
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(application)

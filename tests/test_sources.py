@@ -148,10 +148,13 @@ def test_import_resolution(spark):
 
 
 def test_task_candidates_and_packing(spark):
-    files = spark.createDataFrame([("src/parse_config.go",), ("src/other.go",)], "path string")
+    files = spark.createDataFrame([("src/parse_config.go", "unknown", ""), ("src/other.go", "unknown", "")], "path string, language string, content string")
     symbols = spark.createDataFrame([("src/other.go", "ConfigParser", "func ConfigParser()")], "path string, name string, signature string")
-    terms = tasks.goal_terms(spark.createDataFrame([("q", "parseConfig")], "k string, r string"), "k", "r")
-    found = tasks.candidates(terms, tasks.evidence_parts(files, symbols))
+    requests = spark.createDataFrame([("q", "find parseConfig")], "key string, request string")
+    edges = spark.createDataFrame([], "path string, language string, module string")
+    hit = tasks.evidence(tasks.goal_terms(requests, "key", "request"), tasks.evidence_parts(files, symbols, edges))
+    scores = files.selectExpr("path", "0L as score")
+    found = tasks.candidates(hit, spark.createDataFrame([], "key string, path string, exact long"), scores, requests)
     got = {r.path: r.relevance for r in found.collect()}
     assert got["src/parse_config.go"] == 8 * 3 + 0 and got["src/other.go"] > 0
     costs = spark.createDataFrame([("src/parse_config.go", 50), ("src/other.go", 60)], "path string, tokens long")
