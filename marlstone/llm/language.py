@@ -29,13 +29,14 @@ give empty results; without any labelled document there is no model and every la
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from marlstone.session import ship_package
 
@@ -370,6 +371,16 @@ def train(documents: DataFrame, doc_id: str, text: str, label: str, per_language
     return model
 
 
+def store(model: Model, spark: SparkSession, path: str) -> None:
+    """Write a model as a table of one row, so that later runs need not train it again."""
+    spark.createDataFrame([(bytearray(pickle.dumps(model, protocol=5)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def restore(spark: SparkSession, path: str) -> Model:
+    """The model of a table that ``store`` wrote; it is trusted as code is."""
+    return pickle.loads(bytes(spark.read.parquet(path).first()["model"]))
+
+
 def _label(model: Model, ids: list, texts: list, labels: list) -> pd.DataFrame:
     owner, number, bodies, headings = [], [], [], []
     for i, text in enumerate(texts):

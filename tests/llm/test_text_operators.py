@@ -462,3 +462,14 @@ def test_json_stack_agrees_with_the_parser():
         assert (lexers._json_stack(text) is None) == sound, text
     assert min(seen) > 150
     assert lexers._json_stack("[" * 50_000 + "]" * 50_000) is None
+
+
+def test_a_stored_model_answers_alike(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(_text(rng, l) for _ in range(3)), l) for l in language.LANGUAGES for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, "doc_id", "text", "lang", 20)
+    language.store(model, spark, str(tmp_path / "model"))
+    again = language.restore(spark, str(tmp_path / "model"))
+    a, b = (sorted(map(tuple, language.label_documents(docs, "doc_id", "text", "lang", m).collect()), key=str) for m in (model, again))
+    assert a == b and len(a) >= len(rows)
