@@ -143,7 +143,7 @@ def advance(state: OrphanState | None, references: DataFrame, facts: DataFrame,
         reopened = _all(state.sound).join(ended, ["kind", "key"], "left_semi").join(waiting, ["kind", "key", "at"], "left_anti")
         to_probe = to_probe.unionByName(state.pending).unionByName(reopened.withColumn("known", F.lit(True)))
     probed = _lookup(to_probe, parent_index(_all(parts)), sorted(hot), salts)
-    done = materialize(probed.select(*_REF, "known", _covered(F.col("spans"), F.col("at")).alias("covered")), ["covered"])
+    done = materialize(probed.select(*_REF, "known", _covered(F.col("spans"), F.col("at")).alias("covered")).sortWithinPartitions("covered", "kind", "key"), ["covered"])
     settled = done.filter("covered and not known").select(*_REF)
     return OrphanState(parts, done.filter("not covered").select(*_REF, "known"), [*(state.sound if state else []), settled], hot)
 
